@@ -13,6 +13,7 @@ from ..operators.features import (
     ZScore, bin_label, bin_number, column_names, decile_edges, label_last, multi_hot, safe_name, vocabulary,
 )
 from ..operators.joins import attach_small, star_join
+from ..sources import stage
 from . import activity as act
 from . import variables as var
 from .study import DISPLAY_NAMES, DURATION_NAMES, Study, Tables
@@ -66,16 +67,18 @@ def wide_table(cases: DataFrame, control: DataFrame, t: Tables, study: Study, na
     cohorts share one vocabulary, so no column belongs to one cohort only and one reference
     level is dropped per variable.
     """
-    named = var.case_software(cases, t, study)
+    cases, control = stage(cases, "cases"), stage(control, "control")
+    named = stage(var.case_software(cases, t, study), "case_software")
     case_assets = named.filter(F.col("device_type") == study.device_type).select("asset_name").distinct()
     typed_control = control.filter(F.col("device_type") == study.device_type)
-    control_base = var.control_latest(typed_control, t, study)
+    control_base = stage(var.control_latest(typed_control, t, study), "control_base")
     labels = label_frame(case_assets, control_base, "asset_name")
     own_cases = cases.join(case_assets, "asset_name", "left_semi")
 
     # Categories.
-    long_case = clean_attributes(var.case_attributes(own_cases, t, study))
-    long_control = clean_attributes(var.control_attributes(typed_control, t, study))
+    long_case = stage(clean_attributes(var.case_attributes(own_cases, t, study, named)), "case_attributes")
+    long_control = stage(clean_attributes(var.control_attributes(typed_control, t, study, control_base)),
+                         "control_attributes")
     vocab = vocabulary(long_case, long_control)
     hot = multi_hot(long_case.unionByName(long_control), "asset_name", vocab, naming)
     hot_names = list(column_names(vocab, naming).values())
@@ -85,6 +88,7 @@ def wide_table(cases: DataFrame, control: DataFrame, t: Tables, study: Study, na
     control_types = control_base.select("asset_name", "device_type")
     pct = free_space_pct(case_space, case_types, t).unionByName(
         free_space_pct(var.control_free_space(t, study), control_types, t))
+    pct = stage(pct, "free_space")
     edges = decile_edges(pct, "fs_pct")
     numbers = range(1, len(edges))
     binned = pct.select("asset_name", F.lit("fs_pct").alias("variable"),
@@ -98,8 +102,8 @@ def wide_table(cases: DataFrame, control: DataFrame, t: Tables, study: Study, na
     def both(build):
         return build(cases, "asset_name", t, study).unionByName(build(typed_control, "asset_tag", t, study))
 
-    case_touch = act.touches(cases, "asset_name", t, study)
-    control_touch = act.touches(typed_control, "asset_tag", t, study)
+    case_touch = stage(act.touches(cases, "asset_name", t, study), "case_touches")
+    control_touch = stage(act.touches(typed_control, "asset_tag", t, study), "control_touches")
     as_long = [x.select(F.lit("touch").alias("variable"), F.col("anatomy_model").alias("value"))
                for x in (case_touch, control_touch)]
     models = vocabulary(*as_long, drop_reference=False).get("touch", [])
@@ -126,7 +130,7 @@ def wide_table(cases: DataFrame, control: DataFrame, t: Tables, study: Study, na
         *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("int").alias(c) for c in flags],
         *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("double").alias(c) for c in numerics],
     )
-    return Wide(label_last(filled, "asset_id", "y_flag"), flags, numerics)
+    return Wide(stage(label_last(filled, "asset_id", "y_flag"), "wide"), flags, numerics)
 
 
 def balanced(wide: Wide, study: Study) -> Wide:

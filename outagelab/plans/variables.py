@@ -224,10 +224,14 @@ def control_variables(control: DataFrame, t: Tables, study: Study, distinct_comb
     return out.distinct() if distinct_combinations else out
 
 
-def case_attributes(cases: DataFrame, t: Tables, study: Study) -> DataFrame:
-    """Distinct (asset, variable, value) rows of the case cohort, from the separate blocks."""
+def case_attributes(cases: DataFrame, t: Tables, study: Study, software: DataFrame | None = None) -> DataFrame:
+    """Distinct (asset, variable, value) rows of the case cohort, from the separate blocks.
+
+    ``software`` may be the stored result of :func:`case_software`.
+    """
+    known = case_software(cases, t, study) if software is None else semi_join_keys(software, "asset_name", cases)
     blocks = [
-        long_attributes(case_software(cases, t, study), "asset_name", ["software_version", "is_battery_charging"]),
+        long_attributes(known, "asset_name", ["software_version", "is_battery_charging"]),
         long_attributes(case_hardware(cases, t, study), "asset_name", ["manufacturer", "model", "sku"]),
         long_attributes(clinic_attributes(cases, "asset_name", t, study), "asset_name",
                         ["state", "facility_type", "ranking", "specialty"]),
@@ -235,9 +239,12 @@ def case_attributes(cases: DataFrame, t: Tables, study: Study) -> DataFrame:
     return blocks[0].unionByName(blocks[1]).unionByName(blocks[2])
 
 
-def control_attributes(control: DataFrame, t: Tables, study: Study) -> DataFrame:
-    """Distinct (asset, variable, value) rows of the control cohort; versions stay in long form."""
-    base = control_latest(control, t, study)
+def control_attributes(control: DataFrame, t: Tables, study: Study, base: DataFrame | None = None) -> DataFrame:
+    """Distinct (asset, variable, value) rows of the control cohort; versions stay in long form.
+
+    ``base`` may be the stored result of :func:`control_latest`.
+    """
+    base = control_latest(control, t, study) if base is None else base
     versions = base.select("asset_name").join(control_versions(t, study), "asset_name", "left")
     blocks = [
         long_attributes(versions, "asset_name", ["software_version"]),

@@ -1 +1,6 @@
+"""Registered queries and their check SQL."""
 
+from . import operator_queries, study_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -23,7 +23,3 @@ def build_session(app: str = "outagelab", master: str | None = None, **conf: str
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
-
-def shared_dir(spark: SparkSession) -> str | None:
-    """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``."""
-    return spark.conf.get("spark.checkpoint.dir", None)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +20,31 @@ def write_stage(df: DataFrame, root: str, name: str, partition_by=()) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="outagelab-")
+
+
+def stage_root(df: DataFrame) -> str:
+    """The shared folder named by the cluster; a temporary one only for a local session."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    if spark.conf.get("spark.master", "").startswith("local"):
+        return _local_root()
+    raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table once and go on from the written files.
+
+    Several later steps read it, and a lost executor costs a read instead of a recomputation.
+    Its file size also lets the optimizer choose joins.
+    """
+    return write_stage(df, stage_root(df), f"{name}-{uuid.uuid4().hex}")
+
+
 def write_table(df: DataFrame, table: str, partition_by=(), bucket_by=None, buckets: int = 0) -> None:
     """Rebuild a catalog table; bucket history tables on the asset to join without a shuffle."""
     writer = df.write.mode("overwrite").format("parquet")
