@@ -77,30 +77,32 @@ def accuracy(df: DataFrame, label: str = "label", pred: str = "prediction") -> D
     return df.agg(F.avg((F.col(label) == F.col(pred)).cast("double")).alias("accuracy"))
 
 
-def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
-    return df.groupBy(F.col(score).cast("double").alias("score")).agg(
+def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
 
 
-def roc_points(df: DataFrame, label: str = "label", score: str = "score", slices: int = 64) -> DataFrame:
+def roc_points(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (),
+               slices: int = 64) -> DataFrame:
     """One ROC point per distinct score: rates of rows scoring at least that much."""
-    counts = _score_counts(df, label, score)
-    cum = running_totals(counts, "score", ["pos", "neg"], descending=True, slices=slices)
+    counts = _score_counts(df, label, score, by)
+    cum = running_totals(counts, "score", ["pos", "neg"], by, descending=True, slices=slices)
     return cum.select(
-        F.col("score").alias("threshold"), "pos", "neg",
+        *by, F.col("score").alias("threshold"), "pos", "neg",
         rate(F.col("neg_to"), F.col("neg_all")).alias("fpr"),
         rate(F.col("pos_to"), F.col("pos_all")).alias("tpr"),
     )
 
 
-def auc(df: DataFrame, label: str = "label", score: str = "score", slices: int = 64) -> DataFrame:
+def auc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (),
+        slices: int = 64) -> DataFrame:
     """Area under the ROC curve, ties counted half, from running counts (no global sort task)."""
-    counts = _score_counts(df, label, score)
-    cum = running_totals(counts, "score", ["neg"], slices=slices)
+    counts = _score_counts(df, label, score, by)
+    cum = running_totals(counts, "score", ["neg"], by, slices=slices)
     below = F.col("neg_to") - F.col("neg")
     wins = F.sum(F.col("pos").cast("double") * (below + F.col("neg") / 2))
-    return cum.agg(rate(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
+    return cum.groupBy(*by).agg(rate(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
 def score_summary(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -23,25 +25,36 @@ FOREST_TREES = (300, 500)
 FOREST_DEPTHS = (30,)
 
 
-def kfold_metrics(data: DataFrame, estimator, k: int, fold: str = "fold") -> DataFrame:
-    """Train accuracy, test accuracy and false-positive rate of each fold.
+def kfold_metrics(data: DataFrame, estimators: Mapping[str, object], k: int, fold: str = "fold",
+                  parallelism: int = 4) -> DataFrame:
+    """Train accuracy, test accuracy and false-positive rate of each model and fold.
 
-    Training iterates over the folds, as cross-validation must; each fit and each score is a
-    distributed job over the cached rows.
+    The fits are independent jobs over the kept rows and run side by side, like those of a
+    cross-validator; all predictions are then counted in one aggregate.
     """
     data = data.persist()
-    out = None
-    for i in range(k):
-        train, test = data.filter(F.col(fold) != i), data.filter(F.col(fold) == i)
-        model = estimator.fit(train)
-        row = None
-        for part, rows in (("train", train), ("test", test)):
-            rates = rate_set(confusion(model.transform(rows))).select(
-                F.lit(i).alias("fold"), F.col("acc").alias(f"{part}_acc"), F.col("fpr").alias(f"{part}_fpr"))
-            row = rates if row is None else row.join(rates, "fold")
-        row = row.select("fold", "train_acc", "test_acc", F.col("test_fpr").alias("fpr"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    spark = data.sparkSession
+
+    @inheritable_thread_target(spark)
+    def fit(task):
+        name, i = task
+        return estimators[name].fit(data.filter(F.col(fold) != i))
+
+    tasks = [(name, i) for name in estimators for i in range(k)]
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        fitted = pool.map(fit, tasks)
+    scored = None
+    for (name, i), model in zip(tasks, fitted, strict=True):
+        part = F.when(F.col(fold) == i, "test").otherwise("train")
+        rows = model.transform(data).select("label", "prediction", F.lit(name).alias("model"),
+                                            F.lit(i).alias("fold"), part.alias("part"))
+        scored = rows if scored is None else scored.unionByName(rows)
+    rates = rate_set(confusion(scored, by=["model", "fold", "part"]))
+
+    def pick(part: str, rate: str):
+        return F.max(F.when(F.col("part") == part, F.col(rate)))
+    return rates.groupBy("model", "fold").agg(
+        pick("train", "acc").alias("train_acc"), pick("test", "acc").alias("test_acc"), pick("test", "fpr").alias("fpr"))
 
 
 def grid(estimator, choices: Mapping[str, Sequence]) -> list[dict]:

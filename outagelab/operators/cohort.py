@@ -82,7 +82,8 @@ def split_by_hash(df: DataFrame, key: str, shares: Sequence[tuple[str, float]],
     done, choice = 0.0, None
     for name, share in shares[:-1]:
         done += share
-        choice = (choice or F).when(point < round(done, 10), name)
+        below = point < round(done, 10)
+        choice = choice.when(below, name) if choice is not None else F.when(below, name)
     return df.withColumn(out, choice.otherwise(shares[-1][0]))
 
 

@@ -25,6 +25,11 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def text(value: str) -> str:
+    """SQL text literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def long_attributes(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """Distinct (key, variable, value) rows of several columns in one pass.
 
@@ -46,20 +51,25 @@ def vocabulary(*longs: DataFrame, common: bool = True, drop_reference: bool = Tr
     """
     tagged = None
     for i, long in enumerate(longs):
-        part = long.select("variable", "value").distinct().withColumn("_src", F.lit(i))
+        part = long.select("variable", "value", F.lit(i).alias("src"))
         tagged = part if tagged is None else tagged.unionByName(part)
+    return vocabulary_by_source(tagged, "src", len(longs) if common else 1, drop_reference)
+
+
+def vocabulary_by_source(tagged: DataFrame, src: str, sources: int = 2, drop_reference: bool = True):
+    """The same from one frame, for values held by at least ``sources`` different sources."""
     rows = (
-        tagged.groupBy("variable", "value").agg(F.count_distinct("_src").alias("_n"))
+        tagged.groupBy("variable", "value").agg(F.count_distinct(src).alias("_n"))
         .limit(MAX_COLUMNS + 1).collect()
     )
     if len(rows) > MAX_COLUMNS:
         raise ValueError(f"more than {MAX_COLUMNS} distinct values to encode")
     out: dict[str, list[str]] = {}
     for variable in sorted({r["variable"] for r in rows}):
-        values = sorted(r["value"] for r in rows if r["variable"] == variable)
-        shared = {r["value"] for r in rows if r["variable"] == variable and r["_n"] == len(longs)}
+        held = {r["value"]: r["_n"] for r in rows if r["variable"] == variable}
+        values = sorted(held)
         kept = values[:-1] if drop_reference else values
-        out[variable] = [v for v in kept if not common or v in shared]
+        out[variable] = [v for v in kept if held[v] >= sources]
     return out
 
 
@@ -83,20 +93,15 @@ def multi_hot(long: DataFrame, key: str, vocab: Mapping[str, Sequence[str]], nam
     One aggregate for all variables. Duplicates combine before the shuffle.
     """
     names = column_names(vocab, naming)
-    cells = [
-        F.max(F.when((F.col("variable") == var) & (F.col("value") == val), 1).otherwise(0)).alias(name)
-        for (var, val), name in names.items()
-    ]
-    if len(cells) <= 60:
-        return long.groupBy(key).agg(*cells)
-    # Many columns: pivot on one composed key, so a row updates one cell instead of all.
     item = F.concat_ws("\u0001", "variable", "value")
     wanted = {f"{var}\u0001{val}": name for (var, val), name in names.items()}
-    wide = (
-        long.select(key, F.when(item.isin(*wanted), item).alias("_item")).groupBy(key)
-        .pivot("_item", list(wanted)).agg(F.max(F.lit(1)))
-    )
-    return wide.select(key, *[F.coalesce(quoted(i), F.lit(0)).alias(n) for i, n in wanted.items()])
+    hits = long.select(key, F.when(item.isin(*wanted), item).alias("_item"))
+    if len(wanted) <= 60:
+        cells = [f"max(if(_item = {text(i)}, 1, 0)) as `{name}`" for i, name in wanted.items()]
+        return hits.groupBy(key).agg(*[F.expr(c) for c in cells]).na.fill(0)
+    # Many columns: a pivot, so that a row updates one cell instead of all.
+    wide = hits.groupBy(key).pivot("_item", list(wanted)).agg(F.max(F.lit(1)))
+    return wide.selectExpr(key, *[f"coalesce(`{i}`, 0) as `{name}`" for i, name in wanted.items()])
 
 
 def decile_edges(df: DataFrame, value: str, q: int = 10) -> list[float]:
@@ -133,17 +138,17 @@ class ZScore:
 
     @classmethod
     def fit(cls, df: DataFrame, cols: Sequence[str]) -> "ZScore":
-        row = df.agg(*[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(cols)],
-                     *[F.stddev_samp(quoted(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+        row = df.selectExpr(*[f"{f}(`{c}`) as {n}{i}" for i, c in enumerate(cols)
+                              for n, f in (("m", "avg"), ("s", "stddev_samp"))]).first()
         return cls({c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)})
 
     def apply(self, df: DataFrame) -> DataFrame:
         """A constant column becomes zero."""
-        out = {}
-        for c, (mean, dev) in self.stats.items():
-            scaled = (quoted(c) - F.lit(mean)) / F.lit(dev) if dev else F.lit(0.0)
-            out[c] = F.when(quoted(c).isNotNull(), scaled)
-        return df.withColumns(out)
+        scaled = {
+            c: f"(`{c}` - {mean!r}D) / {dev!r}D" if dev else f"if(`{c}` is null, null, 0D)"
+            for c, (mean, dev) in self.stats.items()
+        }
+        return df.selectExpr(*[f"{scaled[c]} as `{c}`" if c in scaled else f"`{c}`" for c in df.columns])
 
 
 def unpivot(df: DataFrame, keep: Sequence[str], cols: Sequence[str],

@@ -33,29 +33,18 @@ def vectors(splits: Wide, part: str, features: Sequence[str]) -> DataFrame:
     return est.assemble(split_part(splits, part), features, splits.label, keep=[splits.key])
 
 
-def baseline_scores(splits: Wide, features: Sequence[str], k: int = 5, seed: int = 42,
-                    models: Sequence[str] | None = None) -> DataFrame:
+def baseline_scores(splits: Wide, features: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Fold scores of the baseline models, one row per model and fold."""
     folds = fold_by_rank(vectors(splits, "train", features), splits.key, k, seed).persist()
-    rows = folds.count()
-    out = None
-    for name, estimator in est.baselines(rows, seed).items():
-        if models and name not in models:
-            continue
-        scores = sr.kfold_metrics(folds, estimator, k).withColumn("model", F.lit(name))
-        out = scores if out is None else out.unionByName(scores)
-    return out
-
-
-def evaluate(model, splits: Wide, features: Sequence[str], parts=("train", "test", "valid")) -> DataFrame:
-    """Confusion counts, rates and AUC of a fitted model on each split."""
-    out = None
-    for part in parts:
-        rows = est.scored(model, vectors(splits, part, features))
-        row = ev.rate_set(ev.confusion(rows)).withColumn("auc", ev.auc(rows).scalar()).withColumn(
-            "split", F.lit(part))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return sr.kfold_metrics(folds, est.baselines(folds.count(), seed), k)
+
+
+def evaluate(model, splits: Wide, features: Sequence[str]) -> DataFrame:
+    """Confusion counts, rates and AUC of a fitted model, one row per split."""
+    rows = est.scored(model, est.assemble(splits.df, features, splits.label, keep=[splits.key, "split"])).select(
+        "split", "label", "prediction", "score").persist()
+    rates = ev.rate_set(ev.confusion(rows, by=["split"]))
+    return rates.join(ev.auc(rows, by=["split"]), "split")
 
 
 def tuned_forest(splits: Wide, features: Sequence[str], n: int = 5, k: int = 5, trees=sr.FOREST_TREES,

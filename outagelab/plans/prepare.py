@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import FACILITY_VALUES, VERSION_VALUES, clean_sentinels, percent
 from ..operators.cohort import balance_down, label_frame, split_exact
 from ..operators.features import (
-    ZScore, bin_label, bin_number, column_names, decile_edges, label_last, multi_hot, safe_name, vocabulary,
+    ZScore, bin_label, bin_number, column_names, decile_edges, label_last, multi_hot, safe_name, vocabulary_by_source,
 )
-from ..operators.joins import attach_small, star_join
-from ..sources import stage
+from ..operators.joins import attach_small, semi_join_keys, star_join
+from ..sources import stage, write_csv
 from . import activity as act
 from . import variables as var
 from .study import DISPLAY_NAMES, DURATION_NAMES, Study, Tables
@@ -54,90 +54,88 @@ def free_space_pct(spaces: DataFrame, types: DataFrame, t: Tables) -> DataFrame:
     ).distinct()
 
 
-def _spaces(software: DataFrame):
-    return software.select("asset_name", "free_disk_space").distinct(), \
-        software.select("asset_name", "device_type").distinct()
+def device_labels(case_software: DataFrame, control: DataFrame, study: Study) -> DataFrame:
+    """Devices of the studied type with their label: case 1, control 0."""
+    return label_frame(case_software.filter(F.col("device_type") == study.device_type),
+                       control.filter(F.col("device_type") == study.device_type), "asset_name", "asset_tag")
 
 
 def wide_table(cases: DataFrame, control: DataFrame, t: Tables, study: Study, naming=safe_name,
                bins: str = "edges") -> Wide:
     """The modelling table of one device type before sampling: cases and controls, label last.
 
-    ``cases`` and ``control`` are the cohorts. Attributes stay in long form up to one pivot; both
-    cohorts share one vocabulary, so no column belongs to one cohort only and one reference
-    level is dropped per variable.
+    ``cases`` and ``control`` are the cohorts, ideally stored tables. Attributes stay in long form
+    up to one pivot; both cohorts share one vocabulary, so no column belongs to one cohort only
+    and one reference level is dropped per variable. The activity logs are read once for both
+    cohorts together.
     """
-    cases, control = stage(cases, "cases"), stage(control, "control")
     named = stage(var.case_software(cases, t, study), "case_software")
-    case_assets = named.filter(F.col("device_type") == study.device_type).select("asset_name").distinct()
+    typed = named.filter(F.col("device_type") == study.device_type)
     typed_control = control.filter(F.col("device_type") == study.device_type)
     control_base = stage(var.control_latest(typed_control, t, study), "control_base")
-    labels = label_frame(case_assets, control_base, "asset_name")
-    own_cases = cases.join(case_assets, "asset_name", "left_semi")
+    labels = stage(device_labels(named, control, study), "labels")
+    own_cases = cases.join(typed.select("asset_name").distinct(), "asset_name", "left_semi")
 
     # Categories.
-    long_case = stage(clean_attributes(var.case_attributes(own_cases, t, study, named)), "case_attributes")
-    long_control = stage(clean_attributes(var.control_attributes(typed_control, t, study, control_base)),
-                         "control_attributes")
-    vocab = vocabulary(long_case, long_control)
-    hot = multi_hot(long_case.unionByName(long_control), "asset_name", vocab, naming)
+    attributes = stage(
+        clean_attributes(var.case_attributes(own_cases, t, study, named)).withColumn("src", F.lit(1)).unionByName(
+            clean_attributes(var.control_attributes(typed_control, t, study, control_base)).withColumn("src", F.lit(0))),
+        "attributes")
+    vocab = vocabulary_by_source(attributes, "src")
+    hot = multi_hot(attributes, "asset_name", vocab, naming)
     hot_names = list(column_names(vocab, naming).values())
 
     # Free-space deciles over both cohorts.
-    case_space, case_types = _spaces(named.filter(F.col("device_type") == study.device_type))
-    control_types = control_base.select("asset_name", "device_type")
-    pct = free_space_pct(case_space, case_types, t).unionByName(
-        free_space_pct(var.control_free_space(t, study), control_types, t))
-    pct = stage(pct, "free_space")
+    types = typed.select("asset_name", "device_type").distinct().unionByName(
+        control_base.select("asset_name", "device_type"))
+    spaces = typed.select("asset_name", "free_disk_space").distinct().unionByName(
+        semi_join_keys(var.control_free_space(t, study), "asset_name", control_base))
+    pct = stage(free_space_pct(spaces, types, t), "free_space")
     edges = decile_edges(pct, "fs_pct")
-    numbers = range(1, len(edges))
     binned = pct.select("asset_name", F.lit("fs_pct").alias("variable"),
                         bin_number(F.col("fs_pct"), edges).cast("string").alias("value")).distinct()
+    # The last bin is the reference level.
     bin_names = {str(i): naming(f"fs_pct_{bin_label(edges, i)}") if bins == "edges" else f"fs_pct_{i}"
-                 for i in list(numbers)[:-1]}
+                 for i in range(1, len(edges) - 1)}
     bin_hot = multi_hot(binned, "asset_name", {"fs_pct": list(bin_names)},
                         lambda n: bin_names[n.removeprefix("fs_pct_")])
 
-    # Activity blocks; the models touched in both cohorts become columns.
-    def both(build):
-        return build(cases, "asset_name", t, study).unionByName(build(typed_control, "asset_tag", t, study))
-
-    case_touch = stage(act.touches(cases, "asset_name", t, study), "case_touches")
-    control_touch = stage(act.touches(typed_control, "asset_tag", t, study), "control_touches")
-    as_long = [x.select(F.lit("touch").alias("variable"), F.col("anatomy_model").alias("value"))
-               for x in (case_touch, control_touch)]
-    models = vocabulary(*as_long, drop_reference=False).get("touch", [])
+    # Activity; the models touched in both cohorts become columns.
+    everyone = cases.select(F.col("asset_name").alias("asset_id"), "device_type").unionByName(
+        typed_control.select(F.col("asset_tag").alias("asset_id"), "device_type")).distinct()
+    touch = stage(act.touches(everyone, "asset_id", t, study), "touches")
+    models = vocabulary_by_source(
+        touch.join(labels, "asset_id").select(F.lit("touch").alias("variable"),
+                                              F.col("anatomy_model").alias("value"), "y_flag"),
+        "y_flag", drop_reference=False).get("touch", [])
     model_names = {m: naming(m) for m in models}
-    touch_block = act.touch_pivot(case_touch.unionByName(control_touch), model_names)
-
-    power = var.power_off(t, study)
     clinics = var.clinic_attributes(own_cases, "asset_name", t, study).unionByName(
         var.clinic_attributes(typed_control, "asset_tag", t, study)
-    ).groupBy("asset_name").agg(F.max("clinic_had_mia").alias("clinic_had_mia"))
+    ).groupBy(F.col("asset_name").alias("asset_id")).agg(F.max("clinic_had_mia").alias("clinic_had_mia"))
 
     blocks = [
-        hot.withColumnRenamed("asset_name", "asset_id"),
-        bin_hot.withColumnRenamed("asset_name", "asset_id"),
-        both(act.ad_activity), both(act.sessions), touch_block, power,
-        clinics.withColumnRenamed("asset_name", "asset_id"),
+        hot.withColumnRenamed("asset_name", "asset_id"), bin_hot.withColumnRenamed("asset_name", "asset_id"),
+        act.ad_activity(everyone, "asset_id", t, study), act.sessions(everyone, "asset_id", t, study),
+        act.touch_pivot(touch, model_names), semi_join_keys(var.power_off(t, study), "asset_id", labels), clinics,
     ]
     flags = [*hot_names, *bin_names.values(), "clinic_had_mia"]
     numerics = ["avg_campaigns", *DISPLAY_NAMES.values(), *DURATION_NAMES.values(),
                 *act.session_names().values(), *model_names.values(), "avg_times", "avg_days"]
-    joined = star_join(labels, blocks, "asset_id")
-    filled = joined.select(
-        "asset_id", "y_flag",
-        *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("int").alias(c) for c in flags],
-        *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("double").alias(c) for c in numerics],
-    )
-    return Wide(stage(label_last(filled, "asset_id", "y_flag"), "wide"), flags, numerics)
+    cells = [f"cast(coalesce(`{c}`, 0) as int) as `{c}`" for c in flags]
+    cells += [f"cast(coalesce(`{c}`, 0) as double) as `{c}`" for c in numerics]
+    wide = star_join(labels, blocks, "asset_id").selectExpr("asset_id", *cells, "y_flag")
+    return Wide(stage(wide, "wide"), flags, numerics)
 
 
 def balanced(wide: Wide, study: Study) -> Wide:
-    """All cases and as many sampled controls."""
-    cases = wide.df.filter(F.col(wide.label) == 1)
-    controls = wide.df.filter(F.col(wide.label) == 0)
-    return Wide(balance_down(cases, controls, wide.key, study.seed), wide.flags, wide.numerics)
+    """All cases and as many sampled controls.
+
+    Keys are sampled first, on two narrow columns; wide rows move once, in the final semi join.
+    """
+    keys = wide.df.select(wide.key, wide.label)
+    sample = stage(balance_down(keys.filter(F.col(wide.label) == 1), keys.filter(F.col(wide.label) == 0),
+                                wide.key, study.seed), "sample")
+    return Wide(wide.df.join(sample.select(wide.key), wide.key, "left_semi"), wide.flags, wide.numerics)
 
 
 def normalised_splits(wide: Wide, study: Study, fit_on: str = "train") -> Wide:
@@ -146,6 +144,14 @@ def normalised_splits(wide: Wide, study: Study, fit_on: str = "train") -> Wide:
     ``fit_on='train'`` keeps test rows out of the fit; ``'all'`` fits before the split, as the
     study did.
     """
-    split = split_exact(wide.df, wide.key, SHARES, study.seed)
+    parts = stage(split_exact(wide.df.select(wide.key), wide.key, SHARES, study.seed), "splits")
+    split = wide.df.join(parts, wide.key)
     sample = split if fit_on == "all" else split.filter(F.col("split") == "train")
     return Wide(ZScore.fit(sample, wide.numerics).apply(split), wide.flags, wide.numerics)
+
+
+def write_splits(splits: Wide, root: str) -> None:
+    """One CSV folder per split, label last, as later runs reuse the same rows."""
+    ordered = label_last(splits.df, splits.key, splits.label)
+    for part, _ in SHARES:
+        write_csv(ordered.filter(F.col("split") == part).drop("split"), f"{root.rstrip('/')}/{part}")

@@ -471,7 +471,7 @@ def align_columns(spark, d):
     return a.withColumn("cohort", F.lit(1)).unionByName(b.withColumn("cohort", F.lit(0)))
 
 
-@query("union_missing_columns", "select suppkey, cohort, \"ECONOMY\", \"LARGE\", \"SMALL\" from ("
+@query("union_missing_columns", "select suppkey, cohort, \"ECONOMY\", \"LARGE\" from ("
        + _pivot_sql("R", ["ECONOMY", "LARGE", "MEDIUM", "PROMO"], ", 1 as cohort")
        + ") union all by name select suppkey, cohort, \"LARGE\", \"SMALL\" from ("
        + _pivot_sql("A", ["LARGE", "MEDIUM", "SMALL", "STANDARD"], ", 0 as cohort") + ")")

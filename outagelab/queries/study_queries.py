@@ -563,7 +563,11 @@ select asset_id, y_flag from (select *, row_number() over (order by md5(asset_id
 
 @query("balanced_devices", study_sql("from sampled", _SAMPLE))
 def balanced_devices(spark, d):
-    return _sampled(spark, d).df.select("asset_id", "y_flag")
+    """Sampling needs the labels only, not the wide rows."""
+    t = tables(spark, d)
+    cases, capped = _both(t)
+    found = stage(prepare.device_labels(var.case_software(cases, t, STUDY), capped, STUDY), "labels")
+    return prepare.balanced(prepare.Wide(found, [], []), STUDY).df
 
 
 @query("prepare_splits", study_sql("""

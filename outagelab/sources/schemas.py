@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Table and column names of the study's source systems.
@@ -41,4 +40,4 @@ def struct_of(table: str) -> T.StructType:
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Project a frame onto a base-table schema with explicit casts."""
-    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in struct_of(table)])
+    return df.selectExpr(*[f"cast(`{f.name}` as {f.dataType.simpleString()}) as `{f.name}`" for f in struct_of(table)])
