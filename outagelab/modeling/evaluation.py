@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import percent, rate
-from ..operators.ordering import running_totals
+from ..operators.ordering import SLICES, running_totals
 
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
@@ -84,7 +84,7 @@ def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ())
 
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (),
-               slices: int = 64) -> DataFrame:
+               slices: int = SLICES) -> DataFrame:
     """One ROC point per distinct score: rates of rows scoring at least that much."""
     counts = _score_counts(df, label, score, by)
     cum = running_totals(counts, "score", ["pos", "neg"], by, descending=True, slices=slices)
@@ -96,7 +96,7 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score", by: Se
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (),
-        slices: int = 64) -> DataFrame:
+        slices: int = SLICES) -> DataFrame:
     """Area under the ROC curve, ties counted half, from running counts (no global sort task)."""
     counts = _score_counts(df, label, score, by)
     cum = running_totals(counts, "score", ["neg"], by, slices=slices)

@@ -35,11 +35,13 @@ def long_attributes(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
 
     This is the form every encoder reads: no row per combination of attributes is needed.
     """
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias("variable"),
-                 F.coalesce(quoted(c).cast("string"), F.lit(UNKNOWN)).alias("value"))
-        for c in cols
-    ])
+    flags = {f.name for f in df.schema if f.dataType.simpleString() == "boolean"}
+
+    def as_text(c: str) -> Column:
+        shown = quoted(c).cast("string")
+        return F.coalesce(F.initcap(shown) if c in flags else shown, F.lit(UNKNOWN))
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), as_text(c).alias("value")) for c in cols])
     return df.select(F.col(key), F.inline(pairs)).distinct()
 
 

@@ -13,14 +13,16 @@ from .ordering import exact_quantiles
 
 
 def prevalence(df: DataFrame, flags: Sequence[str], key: str, split: str = "split",
-               label: str = "y_flag") -> DataFrame:
+               label: str = "y_flag", one_row_per_key: bool = False) -> DataFrame:
     """Devices with flag = 1 per variable, split and label, and their share within the split.
 
     One pass for all flags. Only set flags are unpivoted and the total is taken on the small
-    result table.
+    result table. With ``one_row_per_key`` rows are counted directly, which needs no shuffle of
+    the keys.
     """
     set_flags = unpivot(df, [key, split, label], flags, where=lambda v: v == 1)
-    counts = set_flags.groupBy("variable", split, label).agg(F.count_distinct(key).alias("devices"))
+    devices = F.count(F.lit(1)) if one_row_per_key else F.count_distinct(key)
+    counts = set_flags.groupBy("variable", split, label).agg(devices.alias("devices"))
     whole = Window.partitionBy("variable", split)
     return counts.withColumn("total", F.sum("devices").over(whole)).withColumn(
         "pct", percent(F.col("devices"), F.col("total"))

@@ -12,7 +12,7 @@ from ..modeling import evaluation as ev
 from ..modeling import importance as imp
 from ..modeling import search as sr
 from ..operators.cohort import class_weights, fold_by_rank
-from ..operators.features import variance_filter
+from ..operators.features import safe_name, variance_filter
 from .prepare import Wide
 
 # Columns the study removed as leaks before modelling.
@@ -25,7 +25,8 @@ def split_part(splits: Wide, part: str) -> DataFrame:
 
 def selected_features(splits: Wide, drop: Sequence[str] = LEAKS, threshold: float = 0.09) -> list[str]:
     """Features without leaks whose variance on train is above the threshold."""
-    kept = [c for c in splits.features if c not in set(drop)]
+    gone = {*drop, *map(safe_name, drop)}
+    kept = [c for c in splits.features if c not in gone]
     return variance_filter(split_part(splits, "train"), kept, threshold)
 
 

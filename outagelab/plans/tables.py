@@ -12,7 +12,7 @@ from .prepare import Wide
 def category_profile(splits: Wide) -> DataFrame:
     """Prevalence of every flag on train and test."""
     rows = splits.df.filter(F.col("split").isin("train", "test"))
-    return prevalence(rows, splits.flags, splits.key)
+    return prevalence(rows, splits.flags, splits.key, one_row_per_key=True)
 
 
 def flags_to_drop(profile: DataFrame, min_pct: float = 80.0, max_devices: int = 200) -> DataFrame:

@@ -384,7 +384,8 @@ def _attributes_sql(sources: list[tuple[str, list[str]]]) -> str:
     parts = []
     for table, cols in sources:
         for c in cols:
-            value = f"coalesce(cast({c} as string), 'unknown')"
+            shown = f"case {c} when true then 'True' when false then 'False' end" if c.startswith("is_") else c
+            value = f"coalesce(cast({shown} as string), 'unknown')"
             if c == "software_version":
                 value = f"if({value} in ('[APK NOT INSTALLED]', 'nil', 'None', 'NOT INSTALLED'), 'unknown', {value})"
             if c == "facility_type":
