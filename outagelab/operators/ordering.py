@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 # A table is broadcast only when a count proved that it holds no more rows than this.
 BROADCAST_ROWS = 100_000
-# Parts a global order is cut into; each part is sorted by one task.
-SLICES = 1024
+# Parts a global order is cut into, at quantiles and then evenly; each part is sorted by one task.
+SLICES = 64
+SUBSLICES = 16
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -156,17 +157,16 @@ def value_slices(counts: DataFrame, value: str, sums: Sequence[str], group: Sequ
                  slices: int) -> DataFrame:
     """Give each distinct value its slice number, and each row its group totals ``<name>_all``.
 
-    Cut points and totals come from one aggregate with one row per group. The cuts are kept in
-    blocks, so finding a slice costs about ``2 * sqrt(slices)`` comparisons.
+    Cut points and totals come from one aggregate with one row per group. Between two cut points
+    the range is divided evenly into ``SUBSLICES`` more slices, which keeps the array of cuts that
+    travels with a row short.
     """
-    width = round(slices ** 0.5)
-    # As text: one literal array instead of a thousand column objects.
+    steps = (slices - 1).bit_length()
+    slices = 1 << steps
+    # As text: one literal array instead of many column objects.
     probabilities = ", ".join(f"{i / slices!r}D" for i in range(1, slices))
     cuts = F.expr(f"percentile_approx(`{value}`, array({probabilities}), {max(10_000, 10 * slices)})")
-    starts = F.sequence(F.lit(1), F.lit(slices - 1), F.lit(width))
-    per_group = counts.groupBy(*group).agg(cuts.alias("_flat"), *[F.sum(s).alias(f"{s}_all") for s in sums])
-    per_group = per_group.withColumn("_blocks", F.transform(starts, lambda i: F.slice("_flat", i, width))).withColumn(
-        "_ends", F.transform("_blocks", lambda b: F.element_at(b, -1))).drop("_flat")
+    per_group = counts.groupBy(*group).agg(cuts.alias("_cuts"), *[F.sum(s).alias(f"{s}_all") for s in sums])
     if group:
         joined = counts.join(checked_broadcast(per_group), list(group))
     else:
@@ -174,13 +174,17 @@ def value_slices(counts: DataFrame, value: str, sums: Sequence[str], group: Sequ
         joined = counts.withColumn("_whole", whole).select(
             *counts.columns, *[f"_whole.{c}" for c in per_group.columns]
         )
-    block = F.size(F.filter("_ends", lambda c: c < F.col(value)))
-    inside = F.size(F.filter(F.get("_blocks", F.col("_block")), lambda c: c < F.col(value)))
-    return (
-        joined.withColumn("_block", block)
-        .withColumn("_slice", F.col("_block") * width + F.when(F.col("_block") < F.size("_ends"), inside).otherwise(0))
-        .drop("_blocks", "_ends", "_block")
-    )
+    # Number of cuts below the value by binary search, one projection per step: unlike a
+    # higher-order function over the array this is compiled.
+    joined = joined.withColumn("_block", F.lit(0))
+    for step in (1 << i for i in reversed(range(steps))):
+        joined = joined.withColumn(
+            "_block", F.expr(f"_block + if(get(_cuts, _block + {step - 1}) < `{value}`, {step}, 0)"))
+    lo, hi = F.get("_cuts", F.col("_block") - 1), F.get("_cuts", F.col("_block"))
+    width = hi - lo
+    finite = (width > 0) & (width < F.lit(float("inf")))
+    sub = F.when(finite, F.least(F.floor((F.col(value) - lo) / width * SUBSLICES), F.lit(SUBSLICES - 1))).otherwise(0)
+    return joined.withColumn("_slice", F.col("_block") * SUBSLICES + sub).drop("_cuts", "_block")
 
 
 def running_totals(counts: DataFrame, value: str, sums: Sequence[str], group: Sequence[str] = (),

@@ -691,7 +691,7 @@ def drop_list(spark, d):
     f"round({f}(v) filter (where y_flag = {y}), 4) as {n}_{y}"
     for f, n in (("avg", "mean"), ("median", "median"), ("min", "min"), ("max", "max")) for y in (0, 1)) + " from n group by 1, 2")
 def numeric_profile(spark, d):
-    out = pr.numeric_profile(customer_wide(spark, d), NUMERICS)
+    out = pr.numeric_profile(stage(customer_wide(spark, d), "wide"), NUMERICS)
     return _r(out, *[c for c in out.columns if c not in ("variable", "split")], places=4)
 
 
