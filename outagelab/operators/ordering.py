@@ -61,48 +61,55 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
 
 
 def last_before(points: DataFrame, history: DataFrame, keys: Sequence[str], at: str, time: str,
-                payload: Sequence[str], out: str, slice_of=month_slice) -> DataFrame:
+                payload: Sequence[str], out: str, slice_of=month_slice, reduce: bool | None = None) -> DataFrame:
     """Attach to every point the latest history row with ``time <= at`` (an as-of join).
 
     Both sides are merged into one ordered stream per key, so no pair of rows is ever formed.
-    Rows that share key and time are first reduced to the one with the greatest payload.
-    ``out`` is a struct of time and payload, null when there is no earlier row.
+    Of rows that share key and time the greatest payload counts. ``out`` is a struct of time and
+    payload, null when there is no earlier row.
+
+    ``reduce`` first keeps one row per key and time; partial results are combined before the
+    shuffle, so a key with many rows per day shrinks to its days. It is the default for dates. For
+    timestamps, where nothing would shrink, it would only add a shuffle.
     """
+    if reduce is None:
+        reduce = history.schema[time].dataType.simpleString() == "date"
     snap = F.struct(F.col(time), *[F.col(c) for c in payload])
-    reduced = (
-        history.filter(F.col(time).isNotNull())
-        .groupBy(*keys, F.col(time).alias("_t")).agg(F.max(snap).alias("_snap"))
-    )
-    stream = (
-        reduced.withColumn("_point", F.lit(None).cast(points.select(F.struct("*")).schema[0].dataType))
-        .select(*keys, "_t", "_snap", "_point")
-        .unionByName(
-            points.select(
-                *keys, F.col(at).cast(reduced.schema["_t"].dataType).alias("_t"),
-                F.lit(None).cast(reduced.schema["_snap"].dataType).alias("_snap"),
-                F.struct(*points.columns).alias("_point"),
-            )
-        )
-        .withColumn("_slice", slice_of("_t"))
+    rows = history.filter(F.col(time).isNotNull()).withColumn("_t", F.col(time))
+    if reduce:
+        rows = rows.groupBy(*keys, "_t").agg(F.max(snap).alias("_snap"))
+    else:
+        rows = rows.select(*keys, "_t", snap.alias("_snap"))
+    moment, snap_type = rows.schema["_t"].dataType, rows.schema["_snap"].dataType
+    asked = points.select(
+        *keys, F.col(at).cast(moment).alias("_t"), F.lit(None).cast(snap_type).alias("_snap"),
+        F.struct(*points.columns).alias("_point"),
     )
+    stream = rows.withColumn("_point", F.lit(None).cast(asked.schema["_point"].dataType)).unionByName(asked)
     running = (
-        Window.partitionBy(*keys, "_slice").orderBy("_t", F.col("_snap").isNull())
+        Window.partitionBy(*keys, "_slice").orderBy("_t", F.col("_snap").isNull(), "_snap")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    seen = stream.withColumn("_seen", F.last("_snap", ignorenulls=True).over(running))
-    # Tails come from the reduced history, so both uses share one scan and one shuffle of it.
-    slices = reduced.select(*keys, slice_of("_t").alias("_slice"), "_snap").unionByName(
-        points.select(*keys, F.col(at).cast(reduced.schema["_t"].dataType).alias("_t"))
-        .select(*keys, slice_of("_t").alias("_slice")), allowMissingColumns=True
-    ).groupBy(*keys, "_slice").agg(F.max("_snap").alias("_tail"))
+    seen = stream.withColumn("_slice", slice_of("_t")).withColumn(
+        "_seen", F.last("_snap", ignorenulls=True).over(running))
+    if reduce:
+        # From the reduced history, so that both uses share one scan and one shuffle of it.
+        ends = rows.select(*keys, slice_of("_t").alias("_slice"), "_snap").unionByName(
+            asked.select(*keys, slice_of("_t").alias("_slice")), allowMissingColumns=True)
+        tails = ends.groupBy(*keys, "_slice").agg(F.max("_snap").alias("_tail"))
+    else:
+        # Counting the points keeps all columns, and with them the one shuffle of the stream.
+        tails = seen.groupBy(*keys, "_slice").agg(F.max("_seen").alias("_tail"), F.count("_point").alias("_n"))
     earlier = (
         Window.partitionBy(*keys).orderBy("_slice")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    carry = slices.select(*keys, "_slice", F.last("_tail", ignorenulls=True).over(earlier).alias("_carry"))
+    carry = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(earlier))
+    if not reduce:
+        carry = carry.filter(F.col("_n") > 0)
     return (
         seen.filter(F.col("_point").isNotNull())
-        .join(carry, [*keys, "_slice"], "left")
+        .join(carry.select(*keys, "_slice", "_carry"), [*keys, "_slice"], "left")
         .select("_point.*", F.coalesce("_seen", "_carry").alias(out))
     )
 

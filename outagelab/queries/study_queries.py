@@ -20,7 +20,8 @@ from .study_sql import CL, D1, D2, HW, NAME_RECODE, SW, TYPE_RECODE, study_sql
 
 
 def _cases(t):
-    return cohorts.case_cohort(t, STUDY)
+    """The stored case cohort: every later job reads it several times."""
+    return stage(cohorts.case_cohort(t, STUDY), "cases")
 
 
 def _control(t):
@@ -32,8 +33,7 @@ def _capped(t):
 
 
 def _both(t):
-    """Cohort tables are stored once, as every later job reads them several times."""
-    return stage(_cases(t), "cases"), _capped(t)
+    return _cases(t), _capped(t)
 
 
 def _text(df: DataFrame, *cols: str) -> DataFrame:
@@ -50,7 +50,7 @@ def _round(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
 select case_id, asset_name, device_type, reason_code, case_asset_id, resolution, client_id, ams_status, ams_id, cmh_id,
        cast(created_date as string) as created_date, cast(closed_date as string) as closed_date from mia"""))
 def case_cohort(spark, d):
-    return _text(_cases(tables(spark, d)), "created_date", "closed_date")
+    return _text(cohorts.case_cohort(tables(spark, d), STUDY), "created_date", "closed_date")
 
 
 @query("control_cohort", study_sql("from clean"))
@@ -84,7 +84,7 @@ union all select 'capped', count(*), count(distinct asset_tag) from capped"""))
 def cohort_audit(spark, d):
     t = tables(spark, d)
     control = _control(t)
-    parts = {"case": (_cases(t), "asset_name"), "control": (control, "asset_tag"),
+    parts = {"case": (cohorts.case_cohort(t, STUDY), "asset_name"), "control": (control, "asset_tag"),
              "capped": (cohorts.capped_control(control, STUDY), "asset_tag")}
     out = None
     for name, (df, key) in parts.items():
@@ -216,13 +216,13 @@ _ONE = {
 @query("case_variable_combinations", study_sql(_star("sw", "hw", "mia_clinic")))
 def case_variable_combinations(spark, d):
     t = tables(spark, d)
-    return _round(var.case_variables(stage(_cases(t), "cases"), t, STUDY, distinct_combinations=True), "avg_days")
+    return _round(var.case_variables(_cases(t), t, STUDY, distinct_combinations=True), "avg_days")
 
 
 @query("case_variable_table", study_sql(_star("sw_one", "hw_one", "mia_clinic_one"), _ONE))
 def case_variable_table(spark, d):
     t = tables(spark, d)
-    return _round(var.case_variables(stage(_cases(t), "cases"), t, STUDY), "avg_days")
+    return _round(var.case_variables(_cases(t), t, STUDY), "avg_days")
 
 
 @query("control_variable_combinations", study_sql(_star("capped_all", "capped_hw", "capped_clinic"), _ONE))
@@ -288,7 +288,7 @@ def _activity_round(df):
 @query("ad_activity_case", _ad_sql("mia_walls"))
 def ad_activity_case(spark, d):
     t = tables(spark, d)
-    return _activity_round(act.ad_activity(stage(_cases(t), "cases"), "asset_name", t, STUDY))
+    return _activity_round(act.ad_activity(_cases(t), "asset_name", t, STUDY))
 
 
 @query("ad_activity_control", _ad_sql("capped_walls"))
@@ -300,7 +300,7 @@ def ad_activity_control(spark, d):
 @query("ad_activity_rows", _ad_rows_sql("mia_walls"))
 def ad_activity_rows(spark, d):
     t = tables(spark, d)
-    return _activity_round(act.ad_activity_rows(stage(_cases(t), "cases"), "asset_name", t, STUDY))
+    return _activity_round(act.ad_activity_rows(_cases(t), "asset_name", t, STUDY))
 
 
 @query("ad_activity_folded", _ad_sql("capped_walls"))
@@ -408,7 +408,7 @@ _ATTRIBUTES = {
 @query("case_attributes", study_sql("from case_long", _ATTRIBUTES))
 def case_attributes(spark, d):
     t = tables(spark, d)
-    return prepare.clean_attributes(var.case_attributes(stage(_cases(t), "cases"), t, STUDY))
+    return prepare.clean_attributes(var.case_attributes(_cases(t), t, STUDY))
 
 
 @query("control_attributes", study_sql("from control_long", _ATTRIBUTES))
