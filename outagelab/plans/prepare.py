@@ -13,7 +13,7 @@ from ..operators.features import (
     ZScore, bin_label, bin_number, column_names, decile_edges, label_last, multi_hot, safe_name, vocabulary_by_source,
 )
 from ..operators.joins import attach_small, semi_join_keys, star_join
-from ..sources import stage, write_csv
+from ..sources import stage, stage_all, write_csv
 from . import activity as act
 from . import variables as var
 from .study import DISPLAY_NAMES, DURATION_NAMES, Study, Tables
@@ -69,41 +69,43 @@ def wide_table(cases: DataFrame, control: DataFrame, t: Tables, study: Study, na
     and one reference level is dropped per variable. The activity logs are read once for both
     cohorts together.
     """
-    named = stage(var.case_software(cases, t, study), "case_software")
-    typed = named.filter(F.col("device_type") == study.device_type)
     typed_control = control.filter(F.col("device_type") == study.device_type)
-    control_base = stage(var.control_latest(typed_control, t, study), "control_base")
-    labels = stage(device_labels(named, control, study), "labels")
+    first = stage_all(software=var.case_software(cases, t, study),
+                      control_base=var.control_latest(typed_control, t, study))
+    named, control_base = first["software"], first["control_base"]
+    typed = named.filter(F.col("device_type") == study.device_type)
     own_cases = cases.join(typed.select("asset_name").distinct(), "asset_name", "left_semi")
+    everyone = cases.select(F.col("asset_name").alias("asset_id"), "device_type").unionByName(
+        typed_control.select(F.col("asset_tag").alias("asset_id"), "device_type")).distinct()
+    types = typed.select("asset_name", "device_type").distinct().unionByName(
+        control_base.select("asset_name", "device_type"))
+    spaces = typed.select("asset_name", "free_disk_space").distinct().unionByName(
+        semi_join_keys(var.control_free_space(t, study), "asset_name", control_base))
+    stored = stage_all(
+        labels=device_labels(named, control, study),
+        attributes=clean_attributes(var.case_attributes(own_cases, t, study, named)).withColumn("src", F.lit(1))
+        .unionByName(clean_attributes(var.control_attributes(typed_control, t, study, control_base))
+                     .withColumn("src", F.lit(0))),
+        free_space=free_space_pct(spaces, types, t),
+        touches=act.touches(everyone, "asset_id", t, study),
+    )
+    labels, attributes, pct, touch = (stored[n] for n in ("labels", "attributes", "free_space", "touches"))
 
     # Categories.
-    attributes = stage(
-        clean_attributes(var.case_attributes(own_cases, t, study, named)).withColumn("src", F.lit(1)).unionByName(
-            clean_attributes(var.control_attributes(typed_control, t, study, control_base)).withColumn("src", F.lit(0))),
-        "attributes")
     vocab = vocabulary_by_source(attributes, "src")
     hot = multi_hot(attributes, "asset_name", vocab, naming)
     hot_names = list(column_names(vocab, naming).values())
 
-    # Free-space deciles over both cohorts.
-    types = typed.select("asset_name", "device_type").distinct().unionByName(
-        control_base.select("asset_name", "device_type"))
-    spaces = typed.select("asset_name", "free_disk_space").distinct().unionByName(
-        semi_join_keys(var.control_free_space(t, study), "asset_name", control_base))
-    pct = stage(free_space_pct(spaces, types, t), "free_space")
+    # Free-space deciles over both cohorts; the last bin is the reference level.
     edges = decile_edges(pct, "fs_pct")
     binned = pct.select("asset_name", F.lit("fs_pct").alias("variable"),
                         bin_number(F.col("fs_pct"), edges).cast("string").alias("value")).distinct()
-    # The last bin is the reference level.
     bin_names = {str(i): naming(f"fs_pct_{bin_label(edges, i)}") if bins == "edges" else f"fs_pct_{i}"
                  for i in range(1, len(edges) - 1)}
     bin_hot = multi_hot(binned, "asset_name", {"fs_pct": list(bin_names)},
                         lambda n: bin_names[n.removeprefix("fs_pct_")])
 
     # Activity; the models touched in both cohorts become columns.
-    everyone = cases.select(F.col("asset_name").alias("asset_id"), "device_type").unionByName(
-        typed_control.select(F.col("asset_tag").alias("asset_id"), "device_type")).distinct()
-    touch = stage(act.touches(everyone, "asset_id", t, study), "touches")
     models = vocabulary_by_source(
         touch.join(labels, "asset_id").select(F.lit("touch").alias("variable"),
                                               F.col("anatomy_model").alias("value"), "y_flag"),

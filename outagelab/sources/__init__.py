@@ -2,9 +2,9 @@
 
 from .readers import load_tables, read_csv, read_jdbc, read_parquet, read_stage
 from .schemas import SCHEMAS, conform
-from .sinks import audit, stage, write_csv, write_stage, write_table
+from .sinks import audit, stage, stage_all, write_csv, write_stage, write_table
 
 __all__ = [
     "SCHEMAS", "audit", "conform", "load_tables", "read_csv", "read_jdbc", "read_parquet",
-    "read_stage", "stage", "write_csv", "write_stage", "write_table",
+    "read_stage", "stage", "stage_all", "write_csv", "write_stage", "write_table",
 ]

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import cache
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return write_stage(df, stage_root(df), f"{name}-{uuid.uuid4().hex}")
 
 
+def stage_all(**frames: DataFrame) -> dict[str, DataFrame]:
+    """Stage independent tables side by side, so that one's tail does not idle the cluster."""
+    spark = next(iter(frames.values())).sparkSession
+
+    @inheritable_thread_target(spark)
+    def run(item):
+        return item[0], stage(item[1], item[0])
+
+    with ThreadPool(len(frames)) as pool:
+        return dict(pool.map(run, frames.items()))
+
+
 def write_table(df: DataFrame, table: str, partition_by=(), bucket_by=None, buckets: int = 0) -> None:
     """Rebuild a catalog table; bucket history tables on the asset to join without a shuffle."""
     writer = df.write.mode("overwrite").format("parquet")

@@ -215,3 +215,19 @@ def test_csv_keeps_quotes_and_nulls(spark, tmp_path):
     rows = [(1, 'a "b", c'), (2, None)]
     write_csv(spark.createDataFrame(rows, "i INT, s STRING"), str(tmp_path / "x"))
     assert sorted(tuple(r) for r in read_csv(spark, str(tmp_path / "x"), "i INT, s STRING").collect()) == rows
+
+
+def test_tables_partition_and_bucket(spark, t):
+    from outagelab.sources import write_table
+
+    write_table(t["devices_history"], "history_by_day", partition_by=["export_date"])
+    day = spark.table("history_by_day").filter(F.col("export_date") == d(7, 20))
+    assert day.count() == 1 and "PartitionFilters: [isnotnull(export_date" in day._jdf.queryExecution().toString()
+    for name in ("devices_history", "poweroff_events"):
+        write_table(t[name], f"bucketed_{name}", bucket_by="asset_id", buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("bucketed_devices_history").join(spark.table("bucketed_poweroff_events"), "asset_id")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
