@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,16 +65,16 @@ def label_correlation(df: DataFrame, cols: Sequence[str], label: str) -> DataFra
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Full matrix in long form, all pairs from one aggregate over the rows."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = df.agg(*[F.corr(quoted(a), quoted(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)
-    ])
-    half = row.select(F.inline(cells))
-    mirror = half.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
-    return half.unionByName(mirror)
+    """Full Pearson matrix in long form, from one pass over feature vectors; no nulls allowed.
+
+    Only the matrix itself, one number per pair of columns, leaves the executors.
+    """
+    alias = {c: f"_c{i}" for i, c in enumerate(cols)}
+    rows = df.select(*[quoted(c).cast("double").alias(a) for c, a in alias.items()])
+    vectors = VectorAssembler(inputCols=list(alias.values()), outputCol="v").transform(rows).select("v")
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    cells = [(a, b, float(matrix[i][j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(cells, "a STRING, b STRING, corr DOUBLE")
 
 
 def null_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
