@@ -148,7 +148,7 @@ def model_round_trip(spark, d):
     splits = prepared(spark, d)
     data, rows = _train(spark, splits)
     model = est.logistic(1.0, rows).fit(data)
-    path = f"{stage_root(data)}/model-{model.uid}"
+    path = f"{stage_root(data.sparkSession)}/model-{model.uid}"
     imp.save_model(model, path)
     loaded = imp.load_model(path)
     a = est.scored(model, data).select("asset_id", F.col("prediction").alias("before"))

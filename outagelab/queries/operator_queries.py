@@ -750,7 +750,7 @@ def csv_round_trip(spark, d):
         F.col("o_totalprice").alias("price"), F.to_date("o_orderdate").cast("string").alias("day"),
         F.when(F.col("o_orderkey") % 5 != 0, F.lit('a "quoted", text')).alias("note"))
     staged = stage(rows, "orders")
-    path = f"{stage_root(rows)}/csv-{staged.inputFiles()[0].split('/')[-2].split('-', 1)[1]}"
+    path = f"{stage_root(rows.sparkSession)}/csv-{staged.inputFiles()[0].split('/')[-2].split('-', 1)[1]}"
     write_csv(staged, path)
     return read_csv(spark, path, "orderkey BIGINT, priority STRING, price DOUBLE, day STRING, note STRING")
 

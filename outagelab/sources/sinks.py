@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,20 +20,13 @@ def write_stage(df: DataFrame, root: str, name: str, partition_by=()) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="outagelab-")
+def stage_root(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: `spark.checkpoint.dir`, else a folder in the warehouse.
 
-
-def stage_root(df: DataFrame) -> str:
-    """The shared folder named by the cluster; a temporary one only for a local session."""
-    spark = df.sparkSession
+    Both are reachable from every executor; the rule is the same for every master.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return _local_root()
-    raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -44,7 +35,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Several later steps read it, and a lost executor costs a read instead of a recomputation.
     Its file size also lets the optimizer choose joins.
     """
-    return write_stage(df, stage_root(df), f"{name}-{uuid.uuid4().hex}")
+    return write_stage(df, stage_root(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+
+
+def discard(*stages: DataFrame) -> None:
+    """Delete the files of stages that nothing reads any more."""
+    for df in stages:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def stage_all(**frames: DataFrame) -> dict[str, DataFrame]:
