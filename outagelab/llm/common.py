@@ -19,7 +19,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 NOT_SPACES = r"[^\x20\x09-\x0D]+"
 
 # Columns that operators add beside the user's; the prefix keeps them apart from any real name.
-ID, TEXT, HASH = "__id", "__text", "__hash"
+KEY, TEXT = "__key", "__text"
 
 
 def let(value: Column, body) -> Column:
@@ -38,13 +38,11 @@ def words(text: Column, separator: str) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id, text and a hash of the text, free of the other columns and their names."""
-    return docs.select(
-        F.col(id_col).alias(ID), F.col(text_col).alias(TEXT),
-        F.xxhash64(F.col(text_col)).alias(HASH))
+def document_key(id_col: str, text_col: str) -> Column:
+    """Identity of a document: its id (null is an id like any other) and a hash of its text. Equal keys meet in joins."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"))
 
 
-def joins_document(left: DataFrame, right: DataFrame) -> Column:
-    """Same document on both sides; null ids meet each other."""
-    return left[ID].eqNullSafe(right[ID]) & (left[HASH] == right[HASH])
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Key and text, free of the other columns and their names."""
+    return docs.select(document_key(id_col, text_col).alias(KEY), F.col(text_col).alias(TEXT))

@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import discard, stage
-from .common import (HASH, ID, NOT_ALPHANUMERIC, NOT_ALPHANUMERIC_CASED, TEXT, ascii_lower, joins_document, keyed, let,
-                     words)
+from .common import KEY, NOT_ALPHANUMERIC, NOT_ALPHANUMERIC_CASED, TEXT, ascii_lower, document_key, keyed, let, words
 
 WINDOW = 10
 GRAM = 6
@@ -99,36 +98,36 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         return F.array_distinct(F.concat(*arrays))
 
     # One marker row per document keeps its word count through the join; its value only spreads the markers.
-    tokens = source.select(ID, HASH, _hashes(words(F.col(TEXT), NOT_ALPHANUMERIC_CASED)).alias("h"))
+    tokens = source.select(KEY, _hashes(words(F.col(TEXT), NOT_ALPHANUMERIC_CASED)).alias("h"))
     narrow = tokens.select(
-        ID, HASH, F.size("h").alias("n_words"), F.explode(F.concat(
-            F.array(F.struct(F.lit(True).alias("marker"), F.col(HASH).alias("print"))),
+        KEY, F.size("h").alias("n_words"), F.explode(F.concat(
+            F.array(F.struct(F.lit(True).alias("marker"), F.xxhash64(KEY).alias("print"))),
             F.transform(let(F.col("h"), doc_prints), lambda p: F.struct(F.lit(False).alias("marker"), p.alias("print"))),
-        )).alias("f")).select(ID, HASH, "n_words", "f.marker", "f.print")
+        )).alias("f")).select(KEY, "n_words", "f.marker", "f.print")
     met = narrow.join(prints.withColumn("known", F.lit(True)), "print", "left")
     per_doc = stage(
-        met.where("marker or known").groupBy(ID, HASH).agg(
+        met.where("marker or known").groupBy(KEY).agg(
             F.max("n_words").alias("n_words"),
             F.collect_set(F.when(~F.col("marker"), F.col("print"))).alias("prints")), "document-prints")
 
     # Extend the hits of the few documents that have any: spell out their runs and compare them with the benchmark's.
-    candidates = per_doc.where(F.size("prints") > 0).select(ID, HASH, "prints")
-    texts = source.join(candidates, joins_document(source, candidates)).select(
-        source[ID], source[HASH], "prints", benchmark_words(F.col(TEXT)).alias("ws"))
+    candidates = per_doc.where(F.size("prints") > 0).select(KEY, "prints")
+    texts = source.join(candidates, KEY).select(
+        KEY, "prints", benchmark_words(F.col(TEXT)).alias("ws"))
 
     def spelled(h: Column) -> Column:
         arrays = [_runs(F.col("ws"), _fingerprints(h, window, gram), window)]
         arrays += [_runs(F.col("ws"), _grams(h, n), n) for n in short]
         return F.concat(*[F.filter(a, lambda r: F.array_contains(F.col("prints"), r["print"])) for a in arrays])
 
-    found = texts.select(ID, HASH, F.explode(let(_hashes(F.col("ws")), spelled)).alias("r"))
-    found = found.select(ID, HASH, "r.start", "r.length", "r.content").distinct()
+    found = texts.select(KEY, F.explode(let(_hashes(F.col("ws")), spelled)).alias("r"))
+    found = found.select(KEY, "r.start", "r.length", "r.content").distinct()
     exact = found.join(distinct_runs.select("length", "content"), ["length", "content"])
     hits = stage(
-        exact.groupBy(ID, HASH).agg(
+        exact.groupBy(KEY).agg(
             F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("hits"),
             F.array_sort(F.collect_set(F.md5("content"))).alias("contents"))
-        .select(ID, HASH, _merged(F.col("hits")).alias("spans"), "contents",
+        .select(KEY, _merged(F.col("hits")).alias("spans"), "contents",
                 F.md5(F.array_join("contents", ",")).alias("class")), "document-hits")
 
     # Documents with the same runs have the same items: look each set up once.
@@ -136,10 +135,10 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     named = runs.select("item", F.md5("content").alias("content"))
     items = (classes.select("class", F.explode("contents").alias("content")).join(named, "content")
              .groupBy("class").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items")))
-    labelled = hits.join(items, "class", "left").select(ID, HASH, "spans", "items")
+    labelled = hits.join(items, "class", "left").select(KEY, "spans", "items")
     discard(prints)
-    out = per_doc.join(labelled, joins_document(per_doc, labelled), "left")
-    return out.select(per_doc[ID].alias(id_col), per_doc[HASH].alias("text_hash"), "n_words", "spans", "items")
+    return per_doc.join(labelled, KEY, "left").select(
+        F.col(KEY)["id"].alias(id_col), F.col(KEY)["hash"].alias("text_hash"), "n_words", "spans", "items")
 
 
 def _merged(hits: Column) -> Column:
@@ -171,6 +170,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """The documents, with all their columns, that share at most ``max_hit`` words with the benchmark."""
     spans = find_spans(docs, benchmark, id_col, text_col, **options)
     covered = F.aggregate(F.col("spans"), F.lit(0), lambda n, s: n + s["end"] - s["start"])
-    hit = spans.where(covered > max_hit).select(F.col(id_col).alias(ID), F.col("text_hash").alias(HASH))
-    same = docs[id_col].eqNullSafe(hit[ID]) & (F.xxhash64(docs[text_col]) == hit[HASH])
-    return docs.join(hit, same, "left_anti")
+    hit = spans.where(covered > max_hit).select(F.struct(F.col(id_col).alias("id"), F.col("text_hash").alias("hash")).alias(KEY))
+    return docs.withColumn(KEY, document_key(id_col, text_col)).join(hit, KEY, "left_anti").drop(KEY)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sql
+from . import decontaminate, mix, quality, shards, simhash, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +20,28 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(spans)
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.taken(mix.draw(_table(spark, sf_dir, "documents")))
+
+
+def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assignments(shards.shard(_table(spark, sf_dir, "documents")))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_shard": op3_shard,
+    "op5_quality": op5_quality,
+    "op6_simhash": op6_simhash,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": sql.DECONTAMINATE,
