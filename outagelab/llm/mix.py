@@ -24,7 +24,7 @@ WEIGHTS = (3, 1, 2)   # by rank of the source, repeating
 SHARE = 1.5           # of all words
 MOST = 2.0            # times a source's words
 BLOCK = 2048          # words
-LEAST_BLOCKS = 1024   # blocks of a source at least (but not more than about its words)
+LEAST_BLOCKS = 256    # blocks of a source at least (but not more than about its words)
 BUCKETS = 1024
 SHARDS = 16
 ROUNDS = 6
@@ -192,13 +192,14 @@ def taken(drawn: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return drawn.select(F.col(KEY)["id"].alias(id_col), "size", "source_size", "target", words_taken.alias("taken"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED,
-        **options) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        chars_col: str | None = None, seed: int = SEED, **options) -> DataFrame:
     """The mixed corpus: a row per drawn piece with the document's columns, ``mix_shard`` and ``mix_order``.
 
     A piece that is a whole document keeps its text as it is; a document that is cut by a block's edge keeps the white
-    space between its words. Sort a shard by ``mix_order`` to read it shuffled. Rows of a repeated document row carry the
-    pieces of all its repetitions.
+    space between its words, and ``chars_col``, if given, holds the length of each piece. Sort a shard by ``mix_order`` to
+    read it shuffled. A document that occurs on several rows gives the pieces of all of them. Texts without words are never
+    drawn.
     """
     drawn = draw(docs, id_col, text_col, source_col, seed=seed, **options)
     tickets = F.expr("""flatten(transform(filter(pieces, p -> p.copies > 0), p -> transform(sequence(0, p.copies - 1),
@@ -215,5 +216,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = parts.withColumn("__p", F.explode("__pieces"))
     piece = F.when(F.col("__p.end") - F.col("__p.start") == F.col("__p.size"), F.col(text_col)).otherwise(
         F.array_join(F.slice(TEXT, (F.col("__p.start") + 1).cast("int"), (F.col("__p.end") - F.col("__p.start")).cast("int")), ""))
-    kept = [piece.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return out.select(*kept, F.col("__p.mix_shard").alias("mix_shard"), F.col("__p.mix_order").alias("mix_order"))
+    out = out.withColumn("__piece", piece)
+    drawn_as = {text_col: F.col("__piece"), chars_col: F.length("__piece").cast("long")}
+    return out.select(*[drawn_as.get(c, F.col(c)).alias(c) for c in docs.columns], F.col("__p.mix_shard").alias("mix_shard"), F.col("__p.mix_order").alias("mix_order"))

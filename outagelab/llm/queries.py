@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mix, quality, shards, simhash, sql
+from . import decontaminate, embeddings, mix, quality, shards, simhash, sql, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assignments(shards.shard(_table(spark, sf_dir, "documents")))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -36,12 +40,18 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.find_repeats(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix_sources": op2_mix_sources,
     "op3_shard": op3_shard,
+    "op4_embeddings": op4_embeddings,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op8_substrings": op8_substrings,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": sql.DECONTAMINATE,
