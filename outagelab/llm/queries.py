@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, mix, quality, shards, simhash, sql, substrings
+from . import decontaminate, embeddings, licenses, lines, mix, quality, shards, simhash, sql, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,14 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.find_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.remove_boilerplate(_table(spark, sf_dir, "documents")))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix_sources": op2_mix_sources,
@@ -52,7 +60,10 @@ QUERIES: dict[str, Query] = {
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op8_substrings": op8_substrings,
+    "op9_lines": op9_lines,
+    "op10_licenses": op10_licenses,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": sql.DECONTAMINATE,
+    "op9_lines": sql.LINES,
 }

@@ -22,3 +22,13 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
        sha256(coalesce(l, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join h using (doc_id) left join t using (doc_id)
 """
+
+LINES = """
+with l as (select doc_id, source, i, lines[i] as line, trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare
+           from (select doc_id, source, lines, unnest(range(1, len(lines) + 1)) as i
+                 from (select doc_id, source, string_split(coalesce(text, ''), chr(10)) as lines from documents))),
+b as (select bare from (select distinct bare, source from l where bare <> '') group by bare having count(*) >= 5)
+select doc_id, count(*) filter (where bare <> '')::bigint as n_lines, count(*) filter (where b.bare is not null)::bigint as n_removed,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where b.bare is null), '')) as kept_sha256
+from l left join b using (bare) group by doc_id
+"""
