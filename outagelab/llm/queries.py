@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, licenses, lines, mix, quality, shards, simhash, sql, substrings
+from . import decontaminate, embeddings, licenses, lines, mix, quality, shards, simhash, sql, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.find_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.find_repeats(_table(spark, sf_dir, "documents")))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op4_embeddings": op4_embeddings,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op7_suffixes": op7_suffixes,
     "op8_substrings": op8_substrings,
     "op9_lines": op9_lines,
     "op10_licenses": op10_licenses,
