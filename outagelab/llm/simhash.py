@@ -29,7 +29,8 @@ SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
 SAMPLE = 1024      # fingerprints from which vantage points are chosen
-SHARD = 2000       # fingerprints a shard should hold
+SHARD = 200        # fingerprints a shard should hold
+RINGS = 14         # shards that a vantage point makes of random fingerprints: 2 x sqrt(pi) x standard deviation 4
 BLOCK = 20_000     # rows of a shard compared at a time by one task
 LEAF = 512
 BASE = 72          # digits of a packed distance vector: 0..64, with room for the offsets
@@ -130,7 +131,7 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     n = prints.count()
     # A bounded sample, only to choose the points: any points give the same links.
     sample = prints.orderBy(F.xxhash64(F.lit(1), "print")).limit(SAMPLE).collect()
-    m = max(1, min(5, math.ceil(math.log(max(n, 2) / SHARD, 10)))) if n > SHARD else 1
+    m = max(1, min(5, math.ceil(math.log(max(n, 2) / SHARD, RINGS)))) if n > SHARD else 1
     points = _vantage_points(np.array([r[0] for r in sample], np.int64).view(np.uint64), m)
     shard = F.lit(0).cast("long")
     for p in points:
