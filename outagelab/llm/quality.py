@@ -150,18 +150,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         F.col(id_col).alias("__id")).agg(F.avg(F.col(label_col).cast("double")).alias("__label"))
     # Narrow rows decide who is in the sample; only the sampled texts are read into features.
     chosen = known.orderBy(F.xxhash64(F.lit(5), "__id"), "__id").limit(sample)
-    rows = _columns(docs, text_col, chars_col, F.col(id_col).alias("__id")).join(chosen, "__id")
+    # At most ``sample`` ids: a proven bound, so that the texts are not shuffled to find them.
+    rows = _columns(docs, text_col, chars_col, F.col(id_col).alias("__id")).join(F.broadcast(chosen), "__id")
 
     def run(batches):
         cache: dict = {}
         for pdf in batches:
             found = [features(t, c, cache, bits) for t, c in zip(pdf["__text"], pdf["__chars"])]
-            yield pd.DataFrame({"i": pdf["__id"].astype(str), "y": pdf["__label"], "a": [f[0] for f in found],
-                                "b": [f[1] for f in found], "c": [f[2] for f in found]})
+            yield pd.DataFrame({"i": pdf["__id"].astype(str), "y": pdf["__label"],
+                                "a": [f[0].astype(np.int32).tobytes() for f in found],
+                                "b": [f[1].astype(np.float32).tobytes() for f in found], "c": [f[2].tobytes() for f in found]})
 
-    got = rows.mapInPandas(run, "i string, y double, a array<long>, b array<double>, c array<double>")
+    got = rows.mapInPandas(run, "i string, y double, a binary, b binary, c binary")
     table = got.orderBy(F.xxhash64(F.lit(6), "i"), "i", "y", "c").limit(sample).collect()
-    return fit_machine([(np.array(r["a"], np.int64), np.array(r["b"], np.float64), np.array(r["c"])) for r in table],
+    return fit_machine([(np.frombuffer(r["a"], np.int32), np.frombuffer(r["b"], np.float32), np.frombuffer(r["c"])) for r in table],
                        np.array([r["y"] for r in table], np.float64), bits)
 
 
