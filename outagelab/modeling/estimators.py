@@ -43,14 +43,20 @@ def linear_svm(c: float, rows: int, **kw) -> LinearSVC:
     return LinearSVC(regParam=1.0 / (c * rows), standardization=False, maxIter=kw.pop("maxIter", 100), **kw)
 
 
+def _depth(depth: int) -> int:
+    if depth > MAX_DEPTH:
+        raise ValueError(f"a tree can be at most {MAX_DEPTH} deep, not {depth}")
+    return depth
+
+
 def decision_tree(impurity: str = "gini", max_depth: int = 5, min_leaf: int = 1, seed: int = 42):
-    return DecisionTreeClassifier(impurity=impurity, maxDepth=min(max_depth, MAX_DEPTH),
+    return DecisionTreeClassifier(impurity=impurity, maxDepth=_depth(max_depth),
                                   minInstancesPerNode=min_leaf, seed=seed)
 
 
 def random_forest(trees: int = 100, max_depth: int = 10, min_leaf: int = 1, seed: int = 42,
                   weight_col: str | None = None):
-    rf = RandomForestClassifier(numTrees=trees, maxDepth=min(max_depth, MAX_DEPTH), minInstancesPerNode=min_leaf,
+    rf = RandomForestClassifier(numTrees=trees, maxDepth=_depth(max_depth), minInstancesPerNode=min_leaf,
                                 seed=seed)
     return rf.setWeightCol(weight_col) if weight_col else rf
 

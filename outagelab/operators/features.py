@@ -58,20 +58,21 @@ def vocabulary(*longs: DataFrame, common: bool = True, drop_reference: bool = Tr
     return vocabulary_by_source(tagged, "src", len(longs) if common else 1, drop_reference)
 
 
-def vocabulary_by_source(tagged: DataFrame, src: str, sources: int = 2, drop_reference: bool = True):
+def vocabulary_by_source(tagged: DataFrame, src: str, sources: int = 2, drop_reference: bool = True,
+                         max_columns: int = MAX_COLUMNS):
     """The same from one frame, for values held by at least ``sources`` different sources."""
-    rows = (
-        tagged.groupBy("variable", "value").agg(F.count_distinct(src).alias("_n"))
-        .limit(MAX_COLUMNS + 1).collect()
-    )
-    if len(rows) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} distinct values to encode")
-    out: dict[str, list[str]] = {}
-    for variable in sorted({r["variable"] for r in rows}):
-        held = {r["value"]: r["_n"] for r in rows if r["variable"] == variable}
-        values = sorted(held)
-        kept = values[:-1] if drop_reference else values
-        out[variable] = [v for v in kept if held[v] >= sources]
+    values = tagged.groupBy("variable", "value").agg(F.count_distinct(src).alias("_n"))
+    last = values.groupBy("variable").agg(F.max("value").alias("_last"))
+    shared = values.filter(F.col("_n") >= sources).join(last, "variable")
+    if drop_reference:
+        shared = shared.filter(F.col("value") != F.col("_last"))
+    # Only values that become columns travel to the driver.
+    rows = shared.select("variable", "value").limit(max_columns + 1).collect()
+    if len(rows) > max_columns:
+        raise ValueError(f"more than {max_columns} columns to encode")
+    out: dict[str, list[str]] = {r["variable"]: [] for r in last.select("variable").orderBy("variable").collect()}
+    for variable, value in sorted((r["variable"], r["value"]) for r in rows):
+        out[variable].append(value)
     return out
 
 
@@ -98,10 +99,7 @@ def multi_hot(long: DataFrame, key: str, vocab: Mapping[str, Sequence[str]], nam
     item = F.concat_ws("\u0001", "variable", "value")
     wanted = {f"{var}\u0001{val}": name for (var, val), name in names.items()}
     hits = long.select(key, F.when(item.isin(*wanted), item).alias("_item"))
-    if len(wanted) <= 60:
-        cells = [f"max(if(_item = {text(i)}, 1, 0)) as `{name}`" for i, name in wanted.items()]
-        return hits.groupBy(key).agg(*[F.expr(c) for c in cells]).na.fill(0)
-    # Many columns: a pivot, so that a row updates one cell instead of all.
+    # A pivot: a row updates one cell instead of all.
     wide = hits.groupBy(key).pivot("_item", list(wanted)).agg(F.max(F.lit(1)))
     return wide.selectExpr(key, *[f"coalesce(`{i}`, 0) as `{name}`" for i, name in wanted.items()])
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import BROADCAST_ROWS, checked_broadcast, last_before, month_slice, previous_value
+from .ordering import last_before, month_slice, previous_value
 
 
 def semi_join_keys(df: DataFrame, key: str, keys: DataFrame, keys_col: str | None = None) -> DataFrame:
@@ -97,23 +97,21 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, start: str, end:
 
 
 def latest_in_interval(cases: DataFrame, history: DataFrame, keys: Sequence[str], start: str, end: str,
-                       time: str, payload: Sequence[str], slice_of=month_slice,
-                       prefilter: bool = True) -> DataFrame:
+                       time: str, payload: Sequence[str], slice_of=month_slice) -> DataFrame:
     """Left join each interval with its latest history row in ``[start, end]``.
 
     The latest row not after ``end`` is the answer if it is not before ``start``; that turns the
-    interval join into an as-of join. History of keys without a case is dropped before the
-    shuffle when the list of keys is small enough to broadcast.
+    interval join into an as-of join. The answer depends on key and end alone, so only their distinct
+    pairs are looked up (at most one per key and moment, however many cases share them) and the answers
+    are joined back, which adaptive execution can split. History of keys without a case is dropped
+    before its shuffle. Cases with a null key have no history and stay out of the lookup.
     """
     keys = list(keys)
-    if prefilter:
-        wanted = cases.select(*keys).distinct()
-        marked = checked_broadcast(wanted, BROADCAST_ROWS)
-        if marked is not wanted:
-            history = history.join(marked, keys, "left_semi")
-    found = last_before(cases, history, keys, end, time, payload, "_snap", slice_of)
+    wanted = cases.select(*keys, end).where(" and ".join(f"`{c}` is not null" for c in [*keys, end])).distinct()
+    history = history.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    found = last_before(wanted, history, keys, end, time, payload, "_snap", slice_of)
     inside = F.col(f"_snap.`{time}`") >= F.col(start)
-    return found.select(
+    return cases.join(found, [*keys, end], "left").select(
         *cases.columns,
         *[F.when(inside, F.col(f"_snap.`{c}`")).alias(c) for c in [time, *payload]],
     )
@@ -126,8 +124,8 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], time: str, payload: Seque
 
 
 def attach_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a low-cardinality aggregate or dimension; broadcast it only if its count allows."""
-    return df.join(checked_broadcast(small), list(on), how)
+    """Join a low-cardinality aggregate or dimension; its size at run time decides the form of the join."""
+    return df.join(small, list(on), how)
 
 
 def cast_key_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,

@@ -12,25 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A table is broadcast only when a count proved that it holds no more rows than this.
-BROADCAST_ROWS = 100_000
 # Parts a global order is cut into, at quantiles and then evenly; each part is sorted by one task.
 SLICES = 64
 SUBSLICES = 16
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it is provably small, else leave the join to Spark.
-
-    The small table is kept so that the count and the join do not compute it twice.
-    """
-    kept = df.persist()
-    if kept.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(kept)
-    kept.unpersist()
-    return df
-
-
 def day_slice(t: str) -> Column:
     return F.to_date(F.col(t))
 
@@ -175,7 +161,7 @@ def value_slices(counts: DataFrame, value: str, sums: Sequence[str], group: Sequ
     cuts = F.expr(f"percentile_approx(`{value}`, array({probabilities}), {max(10_000, 10 * slices)})")
     per_group = counts.groupBy(*group).agg(cuts.alias("_cuts"), *[F.sum(s).alias(f"{s}_all") for s in sums])
     if group:
-        joined = counts.join(checked_broadcast(per_group), list(group))
+        joined = counts.join(per_group, list(group))
     else:
         whole = per_group.select(F.struct("*")).scalar()
         joined = counts.withColumn("_whole", whole).select(
@@ -233,16 +219,21 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
         .groupBy(*group, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
     )
     ranked = running_totals(counts, "_x", ["_c"], group, slices=slices)
-    want = ranked.select(
-        *group, "_x", "_c", "_c_to", "_c_all",
-        F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("probability"),
-    ).withColumn("_pos", F.col("probability") * (F.col("_c_all") - 1))
-    lo, hi = F.floor("_pos"), F.ceil("_pos")
 
     def holds(r: Column) -> Column:
         return (r >= F.col("_c_to") - F.col("_c")) & (r < F.col("_c_to"))
 
-    picked = want.filter(holds(lo) | holds(hi)).groupBy(*group, "probability").agg(
+    def wanted(p: Column) -> Column:
+        place = p * (F.col("_c_all") - 1)
+        return holds(F.floor(place)) | holds(F.ceil(place))
+
+    # Only the probabilities whose order statistics a value holds become rows.
+    asked = F.filter(F.array(*[F.lit(float(p)) for p in probabilities]), wanted)
+    want = ranked.select(
+        *group, "_x", "_c", "_c_to", "_c_all", F.explode(asked).alias("probability"),
+    ).withColumn("_pos", F.col("probability") * (F.col("_c_all") - 1))
+    lo, hi = F.floor("_pos"), F.ceil("_pos")
+    picked = want.groupBy(*group, "probability").agg(
         F.max("_pos").alias("_pos"),
         F.max(F.when(holds(lo), F.col("_x"))).alias("_lo"),
         F.max(F.when(holds(hi), F.col("_x"))).alias("_hi"),

@@ -122,8 +122,10 @@ def sessions(cohort: DataFrame, key: str, t: Tables, study: Study) -> DataFrame:
 
 def touches(cohort: DataFrame, key: str, t: Tables, study: Study) -> DataFrame:
     """Mean daily distinct touches per asset and anatomy model."""
+    day_type = t["model_interaction"].schema["event_date"].dataType
     rows = t["model_interaction"].filter(
-        F.col("event_date").cast("date").between(F.lit(study.first).cast("date"), F.lit(study.last).cast("date"))
+        # Bounds in the type of the column (days as text sort like days), so that they reach the scan.
+        F.col("event_date").between(F.lit(study.first).cast(day_type), F.lit(study.last).cast(day_type))
     ).withColumnRenamed("assetid", "asset_id")
     mine = semi_join_keys(rows, "asset_id", typed_assets(cohort, key, study)).withColumn(
         "date", epoch_day(F.col("time")))

@@ -29,7 +29,10 @@ def case_cohort(t: Tables, study: Study) -> DataFrame:
              "resolution", "created_date", "closed_date")
     cases = t["cases"].select("case_id", F.col("created_date").alias("case_opened"), F.col("cmh_id").alias("clinic"))
     anchored = reasons.join(items, ["case_id", "asset_name"]).join(cases, "case_id", "left")
-    state = t["assets_history"].select("asset_tag", "export_date", F.col("status").alias("ams_status"), "ams_id",
+    # The state wanted is that of the day after opening: bounds of those days prune the largest table.
+    days = anchored.select(F.to_date("case_opened").alias("day"))
+    first, last = (days.agg(F.date_add(f("day"), 1)).scalar() for f in (F.min, F.max))
+    state = t["assets_history"].filter(F.col("export_date").between(first, last)).select("asset_tag", "export_date", F.col("status").alias("ams_status"), "ams_id",
                                        "source_system", "source_system_id")
     with_state = next_day_folded_join(anchored, state, "asset_name", "asset_tag", "case_opened", "export_date")
     devices = t["devices"].select(F.col("id").alias("device_id"), "client_id")
@@ -60,6 +63,8 @@ def control_cohort(t: Tables, study: Study, fold_case: bool = False) -> DataFram
 
 def capped_control(control: DataFrame, study: Study) -> DataFrame:
     """At most ``study.cap`` control rows per device type, in tag order, with their rank ``rn``."""
+    if study.cap is None:
+        raise ValueError("the study names no cap")
     return cap_per_type(control, "device_type", "asset_tag", study.cap)
 
 

@@ -71,8 +71,9 @@ def wide_table(cases: DataFrame, control: DataFrame, t: Tables, study: Study, na
     """
     typed_control = control.filter(F.col("device_type") == study.device_type)
     first = stage_all(software=var.case_software(cases, t, study),
-                      control_base=var.control_latest(typed_control, t, study))
-    named, control_base = first["software"], first["control_base"]
+                      control_history=var.control_history(typed_control, t, study))
+    named, history = first["software"], first["control_history"]
+    control_base = stage(var.control_latest(typed_control, t, study, history), "control_base")
     typed = named.filter(F.col("device_type") == study.device_type)
     own_cases = cases.join(typed.select("asset_name").distinct(), "asset_name", "left_semi")
     everyone = cases.select(F.col("asset_name").alias("asset_id"), "device_type").unionByName(
@@ -80,11 +81,11 @@ def wide_table(cases: DataFrame, control: DataFrame, t: Tables, study: Study, na
     types = typed.select("asset_name", "device_type").distinct().unionByName(
         control_base.select("asset_name", "device_type"))
     spaces = typed.select("asset_name", "free_disk_space").distinct().unionByName(
-        semi_join_keys(var.control_free_space(t, study), "asset_name", control_base))
+        var.control_free_space(history))
     stored = stage_all(
         labels=device_labels(named, control, study),
         attributes=clean_attributes(var.case_attributes(own_cases, t, study, named)).withColumn("src", F.lit(1))
-        .unionByName(clean_attributes(var.control_attributes(typed_control, t, study, control_base))
+        .unionByName(clean_attributes(var.control_attributes(typed_control, t, study, control_base, history))
                      .withColumn("src", F.lit(0))),
         free_space=free_space_pct(spaces, types, t),
         touches=act.touches(everyone, "asset_id", t, study),

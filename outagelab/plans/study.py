@@ -24,13 +24,14 @@ CATEGORICAL = ("software_version", "manufacturer", "model", "sku", "state", "is_
 class Study:
     """Window (both days inclusive for dates), zone of epoch ranges, cap, device type and seed.
 
-    The month columns ignore the year, so the window should lie within one calendar year.
+    The month columns ignore the year, so the window should lie within one calendar year. ``cap`` bounds the
+    control rows of a device type where a capped table is asked for; nothing else is cut by it.
     """
 
     first: str = "2020-06-01"
     last: str = "2020-11-30"
     zone: str = "US/Central"
-    cap: int = 25_000
+    cap: int | None = None
     device_type: str = "WALLBOARD"
     default_days: int = 7
     seed: int = 42

@@ -128,32 +128,50 @@ def network_gap(cohort: DataFrame, key: str, t: Tables, study: Study) -> DataFra
     return gap_days(history, "asset_tag", F.col("export_date"), F.to_date("last_pinged_at"))
 
 
-def control_latest(control: DataFrame, t: Tables, study: Study) -> DataFrame:
+def control_history(control: DataFrame, t: Tables, study: Study) -> DataFrame:
+    """History rows of the control assets in the window: the one read behind all their variables."""
+    rows = t["devices_history"].filter(_in_window(study)).select(
+        F.col("asset_id").alias("asset_name"), "export_date", "is_battery_charging", "battery_charge_level",
+        F.col("device_apk_version").alias("software_version"), "free_disk_space")
+    return semi_join_keys(rows, "asset_name", control, "asset_tag")
+
+
+def _named_version():
+    version = F.col("software_version")
+    return F.when(version.isNotNull() & ~version.like("%nil%"), version)
+
+
+def _control_anchor(control: DataFrame) -> DataFrame:
+    return control.groupBy(F.col("asset_tag").alias("asset_name")).agg(F.min("device_type").alias("device_type"))
+
+
+def control_latest(control: DataFrame, t: Tables, study: Study, history: DataFrame | None = None) -> DataFrame:
     """Latest battery state of each control asset in the window."""
-    history = t["devices_history"].filter(_in_window(study)).select(
-        F.col("asset_id").alias("asset_name"), "export_date", "is_battery_charging", "battery_charge_level")
-    latest = latest_per_key(history, ["asset_name"], "export_date",
-                            ["is_battery_charging", "battery_charge_level"])
-    anchor = control.select(F.col("asset_tag").alias("asset_name"), "device_type").distinct()
-    one_type = anchor.groupBy("asset_name").agg(F.min("device_type").alias("device_type"))
-    return one_type.join(latest.drop("export_date"), "asset_name", "left")
+    history = control_history(control, t, study) if history is None else history
+    latest = latest_per_key(history, ["asset_name"], "export_date", ["is_battery_charging", "battery_charge_level"])
+    return _control_anchor(control).join(latest.drop("export_date"), "asset_name", "left")
 
 
-def _control_history(t: Tables, study: Study) -> DataFrame:
-    return t["devices_history"].filter(_in_window(study)).withColumnRenamed("asset_id", "asset_name")
+def control_versions(history: DataFrame) -> DataFrame:
+    """Distinct known software versions per asset of a narrowed history."""
+    return history.select("asset_name", _named_version().alias("software_version")).filter(
+        "software_version is not null").distinct()
 
 
-def control_versions(t: Tables, study: Study) -> DataFrame:
-    """Distinct known software versions per asset in the window."""
-    return _control_history(t, study).filter(
-        F.col("device_apk_version").isNotNull() & ~F.col("device_apk_version").like("%nil%")
-    ).select("asset_name", F.col("device_apk_version").alias("software_version")).distinct()
+def control_free_space(history: DataFrame) -> DataFrame:
+    """Distinct positive free-space values per asset of a narrowed history."""
+    return history.filter(F.col("free_disk_space") > 0).select("asset_name", "free_disk_space").distinct()
 
 
-def control_free_space(t: Tables, study: Study) -> DataFrame:
-    """Distinct positive free-space values per asset in the window."""
-    return _control_history(t, study).filter(F.col("free_disk_space") > 0).select(
-        "asset_name", "free_disk_space").distinct()
+def control_state(control: DataFrame, t: Tables, study: Study) -> DataFrame:
+    """Per control asset the latest battery state, greatest version and greatest free space, in one pass."""
+    found = control_history(control, t, study).groupBy("asset_name").agg(
+        F.max(F.struct("export_date", "is_battery_charging", "battery_charge_level")).alias("_b"),
+        F.max(_named_version()).alias("software_version"),
+        F.max(F.when(F.col("free_disk_space") > 0, F.col("free_disk_space"))).alias("free_disk_space"))
+    return _control_anchor(control).join(found, "asset_name", "left").select(
+        "asset_name", "device_type", "_b.is_battery_charging", "_b.battery_charge_level", "software_version",
+        "free_disk_space")
 
 
 def control_hardware(control: DataFrame, t: Tables, study: Study) -> DataFrame:
@@ -209,19 +227,14 @@ def control_variables(control: DataFrame, t: Tables, study: Study, distinct_comb
     study's table held every version with every free-space value of an asset;
     ``distinct_combinations=True`` reproduces that, :func:`control_attributes` avoids it.
     """
-    base = control_latest(control, t, study)
-    versions, spaces = control_versions(t, study), control_free_space(t, study)
     hardware = control_hardware(control, t, study)
-    cohort = control
-    if not distinct_combinations:
-        versions = versions.groupBy("asset_name").agg(F.max("software_version").alias("software_version"))
-        spaces = spaces.groupBy("asset_name").agg(F.max("free_disk_space").alias("free_disk_space"))
-        hardware = hardware.groupBy("asset_name").agg(F.max(F.struct(*HARDWARE)).alias("_h")).select(
-            "asset_name", "_h.*")
-        cohort = _one_clinic(control, "asset_tag")
-    software = base.join(versions, "asset_name", "left").join(spaces, "asset_name", "left")
-    out = _assemble(software, hardware, cohort, "asset_tag", t, study)
-    return out.distinct() if distinct_combinations else out
+    if distinct_combinations:
+        history = control_history(control, t, study)
+        software = control_latest(control, t, study, history).join(
+            control_versions(history), "asset_name", "left").join(control_free_space(history), "asset_name", "left")
+        return _assemble(software, hardware, control, "asset_tag", t, study).distinct()
+    hardware = hardware.groupBy("asset_name").agg(F.max(F.struct(*HARDWARE)).alias("_h")).select("asset_name", "_h.*")
+    return _assemble(control_state(control, t, study), hardware, _one_clinic(control, "asset_tag"), "asset_tag", t, study)
 
 
 def case_attributes(cases: DataFrame, t: Tables, study: Study, software: DataFrame | None = None) -> DataFrame:
@@ -239,13 +252,15 @@ def case_attributes(cases: DataFrame, t: Tables, study: Study, software: DataFra
     return blocks[0].unionByName(blocks[1]).unionByName(blocks[2])
 
 
-def control_attributes(control: DataFrame, t: Tables, study: Study, base: DataFrame | None = None) -> DataFrame:
+def control_attributes(control: DataFrame, t: Tables, study: Study, base: DataFrame | None = None,
+                       history: DataFrame | None = None) -> DataFrame:
     """Distinct (asset, variable, value) rows of the control cohort; versions stay in long form.
 
-    ``base`` may be the stored result of :func:`control_latest`.
+    ``base`` may be the stored result of :func:`control_latest`, ``history`` that of :func:`control_history`.
     """
-    base = control_latest(control, t, study) if base is None else base
-    versions = base.select("asset_name").join(control_versions(t, study), "asset_name", "left")
+    history = control_history(control, t, study) if history is None else history
+    base = control_latest(control, t, study, history) if base is None else base
+    versions = base.select("asset_name").join(control_versions(history), "asset_name", "left")
     blocks = [
         long_attributes(versions, "asset_name", ["software_version"]),
         long_attributes(base, "asset_name", ["is_battery_charging"]),

@@ -14,7 +14,7 @@ from ..plans import tables as tab
 from ..plans import variables as var
 from ..plans.study import DISPLAY_NAMES, DURATION_NAMES, SESSION_MONTHS, SESSION_TYPES
 from ..sources import audit, stage
-from .binding import STUDY, tables
+from .binding import CAPPED, STUDY, tables
 from .registry import query
 from .study_sql import CL, D1, D2, HW, NAME_RECODE, SW, TYPE_RECODE, study_sql
 
@@ -28,12 +28,13 @@ def _control(t):
     return cohorts.control_cohort(t, STUDY)
 
 
-def _capped(t):
-    return stage(cohorts.capped_control(_control(t), STUDY), "capped")
+def _kept_control(t):
+    """The stored control cohort, whole: for jobs that read it several times."""
+    return stage(_control(t), "control")
 
 
 def _both(t):
-    return _cases(t), _capped(t)
+    return _cases(t), _kept_control(t)
 
 
 def _text(df: DataFrame, *cols: str) -> DataFrame:
@@ -60,7 +61,7 @@ def control_cohort(spark, d):
 
 @query("control_cap", study_sql("from capped"))
 def control_cap(spark, d):
-    return cohorts.capped_control(_control(tables(spark, d)), STUDY)
+    return cohorts.capped_control(_control(tables(spark, d)), CAPPED)
 
 
 @query("device_type_counts", study_sql(f"""
@@ -85,7 +86,7 @@ def cohort_audit(spark, d):
     t = tables(spark, d)
     control = _control(t)
     parts = {"case": (cohorts.case_cohort(t, STUDY), "asset_name"), "control": (control, "asset_tag"),
-             "capped": (cohorts.capped_control(control, STUDY), "asset_tag")}
+             "capped": (cohorts.capped_control(control, CAPPED), "asset_tag")}
     out = None
     for name, (df, key) in parts.items():
         row = audit(df, key).withColumn("cohort", F.lit(name))
@@ -151,10 +152,10 @@ def clinic_flag(spark, d):
     return var.clinic_attributes(_cases(t), "asset_name", t, STUDY)
 
 
-@query("clinic_flag_control", study_sql("from capped_clinic"))
+@query("clinic_flag_control", study_sql("from control_clinic"))
 def clinic_flag_control(spark, d):
     t = tables(spark, d)
-    return var.clinic_attributes(_capped(t), "asset_tag", t, STUDY)
+    return var.clinic_attributes(_control(t), "asset_tag", t, STUDY)
 
 
 def _gap_sql(cohort: str) -> str:
@@ -171,10 +172,10 @@ def network_gap_case(spark, d):
     return var.network_gap(_cases(t), "asset_name", t, STUDY)
 
 
-@query("network_gap_control", _gap_sql("select asset_tag from capped"))
+@query("network_gap_control", _gap_sql("select asset_tag from clean"))
 def network_gap_control(spark, d):
     t = tables(spark, d)
-    return var.network_gap(_capped(t), "asset_tag", t, STUDY)
+    return var.network_gap(_control(t), "asset_tag", t, STUDY)
 
 
 _VARS = ", ".join(["asset_name", "device_type", *SW, "min_free_space_by_type", *HW, "avg_times",
@@ -200,15 +201,15 @@ _ONE = {
               f"order by {_order('created_date', *HW)}) = 1",
     "mia_clinic_one": "select * from mia_clinic qualify row_number() over (partition by asset_name "
                       "order by cmh_id desc nulls last) = 1",
-    "capped_one": "select b.*, v.software_version, s.free_disk_space from battery b "
+    "control_one": "select b.*, v.software_version, s.free_disk_space from battery b "
                   "left join (select asset_name, max(software_version) as software_version from versions group by 1) v "
                   "using (asset_name) left join (select asset_name, max(free_disk_space) as free_disk_space from spaces "
                   "group by 1) s using (asset_name)",
-    "capped_hw_one": f"select * from capped_hw qualify row_number() over (partition by asset_name "
+    "control_hw_one": f"select * from control_hw qualify row_number() over (partition by asset_name "
                      f"order by {_order(*HW)}) = 1",
-    "capped_clinic_one": "select * from capped_clinic qualify row_number() over (partition by asset_name "
+    "control_clinic_one": "select * from control_clinic qualify row_number() over (partition by asset_name "
                          "order by cmh_id desc nulls last) = 1",
-    "capped_all": "select b.*, v.software_version, s.free_disk_space from battery b left join versions v "
+    "control_all": "select b.*, v.software_version, s.free_disk_space from battery b left join versions v "
                   "using (asset_name) left join spaces s using (asset_name)",
 }
 
@@ -225,16 +226,16 @@ def case_variable_table(spark, d):
     return _round(var.case_variables(_cases(t), t, STUDY), "avg_days")
 
 
-@query("control_variable_combinations", study_sql(_star("capped_all", "capped_hw", "capped_clinic"), _ONE))
+@query("control_variable_combinations", study_sql(_star("control_all", "control_hw", "control_clinic"), _ONE))
 def control_variable_combinations(spark, d):
     t = tables(spark, d)
-    return _round(var.control_variables(_capped(t), t, STUDY, distinct_combinations=True), "avg_days")
+    return _round(var.control_variables(_kept_control(t), t, STUDY, distinct_combinations=True), "avg_days")
 
 
-@query("control_variable_table", study_sql(_star("capped_one", "capped_hw_one", "capped_clinic_one"), _ONE))
+@query("control_variable_table", study_sql(_star("control_one", "control_hw_one", "control_clinic_one"), _ONE))
 def control_variable_table(spark, d):
     t = tables(spark, d)
-    return _round(var.control_variables(_capped(t), t, STUDY), "avg_days")
+    return _round(var.control_variables(_kept_control(t), t, STUDY), "avg_days")
 
 
 # Activity ----------------------------------------------------------------------------------
@@ -291,10 +292,10 @@ def ad_activity_case(spark, d):
     return _activity_round(act.ad_activity(_cases(t), "asset_name", t, STUDY))
 
 
-@query("ad_activity_control", _ad_sql("capped_walls"))
+@query("ad_activity_control", _ad_sql("control_walls"))
 def ad_activity_control(spark, d):
     t = tables(spark, d)
-    return _activity_round(act.ad_activity(_capped(t), "asset_tag", t, STUDY))
+    return _activity_round(act.ad_activity(_kept_control(t), "asset_tag", t, STUDY))
 
 
 @query("ad_activity_rows", _ad_rows_sql("mia_walls"))
@@ -303,10 +304,10 @@ def ad_activity_rows(spark, d):
     return _activity_round(act.ad_activity_rows(_cases(t), "asset_name", t, STUDY))
 
 
-@query("ad_activity_folded", _ad_sql("capped_walls"))
+@query("ad_activity_folded", _ad_sql("control_walls"))
 def ad_activity_folded(spark, d):
     t = tables(spark, d)
-    return _activity_round(act.fold_activity_rows(act.ad_activity_rows(_capped(t), "asset_tag", t, STUDY)))
+    return _activity_round(act.fold_activity_rows(act.ad_activity_rows(_kept_control(t), "asset_tag", t, STUDY)))
 
 
 @query("ad_types_shown", study_sql("select distinct ad_type from shown where asset_id in (from mia_walls)"))
@@ -326,10 +327,10 @@ def brands_case(spark, d):
     return act.brands(_cases(t), "asset_name", t, STUDY)
 
 
-@query("brands_control", _brand_sql("capped_walls"))
+@query("brands_control", _brand_sql("control_walls"))
 def brands_control(spark, d):
     t = tables(spark, d)
-    return act.brands(_capped(t), "asset_tag", t, STUDY)
+    return act.brands(_control(t), "asset_tag", t, STUDY)
 
 
 def _session_sql(walls: str) -> str:
@@ -349,10 +350,10 @@ def sessions_case(spark, d):
     return _round(act.sessions(_cases(t), "asset_name", t, STUDY), *act.session_names().values())
 
 
-@query("sessions_control", _session_sql("capped_walls"))
+@query("sessions_control", _session_sql("control_walls"))
 def sessions_control(spark, d):
     t = tables(spark, d)
-    return _round(act.sessions(_capped(t), "asset_tag", t, STUDY), *act.session_names().values())
+    return _round(act.sessions(_control(t), "asset_tag", t, STUDY), *act.session_names().values())
 
 
 def _touch_sql(walls: str) -> str:
@@ -371,10 +372,10 @@ def touches_case(spark, d):
 
 
 @query("touches_control", study_sql(
-    f"select asset_id, anatomy_model, round(avg_touches, 6) as avg_touches from ({_touch_sql('capped_walls')})"))
+    f"select asset_id, anatomy_model, round(avg_touches, 6) as avg_touches from ({_touch_sql('control_walls')})"))
 def touches_control(spark, d):
     t = tables(spark, d)
-    return _round(act.touches(_capped(t), "asset_tag", t, STUDY), "avg_touches")
+    return _round(act.touches(_control(t), "asset_tag", t, STUDY), "avg_touches")
 
 
 # Preparation -------------------------------------------------------------------------------
@@ -400,8 +401,8 @@ _ATTRIBUTES = {
                                   ("hw", ["manufacturer", "model", "sku"]), ("mia_clinic", _CLINIC_VARS)]),
     "control_versions": "select asset_name, software_version from battery left join versions using (asset_name)",
     "control_long": _attributes_sql([("control_versions", ["software_version"]), ("battery", ["is_battery_charging"]),
-                                     ("capped_hw", ["manufacturer", "model", "sku"]),
-                                     ("capped_clinic", _CLINIC_VARS)]),
+                                     ("control_hw", ["manufacturer", "model", "sku"]),
+                                     ("control_clinic", _CLINIC_VARS)]),
 }
 
 
@@ -414,7 +415,7 @@ def case_attributes(spark, d):
 @query("control_attributes", study_sql("from control_long", _ATTRIBUTES))
 def control_attributes(spark, d):
     t = tables(spark, d)
-    return prepare.clean_attributes(var.control_attributes(_capped(t), t, STUDY))
+    return prepare.clean_attributes(var.control_attributes(_kept_control(t), t, STUDY))
 
 
 @query("attribute_columns", study_sql("""
@@ -426,9 +427,9 @@ select variable, value from (
 def attribute_columns(spark, d):
     """Columns of the multi-hot block: values of both cohorts without each variable's last level."""
     t = tables(spark, d)
-    cases, capped = _both(t)
+    cases, control = _both(t)
     vocab = vocabulary(prepare.clean_attributes(var.case_attributes(cases, t, STUDY)),
-                       prepare.clean_attributes(var.control_attributes(capped, t, STUDY)))
+                       prepare.clean_attributes(var.control_attributes(control, t, STUDY)))
     rows = [(k, v) for k, values in vocab.items() for v in values]
     return spark.createDataFrame(rows, "variable STRING, value STRING")
 
@@ -443,9 +444,9 @@ where (variable, value) in (select (variable, value) from (
 def attribute_hot_sums(spark, d):
     """Column sums of the multi-hot block, one row per column."""
     t = tables(spark, d)
-    cases, capped = _both(t)
+    cases, control = _both(t)
     longs = [stage(prepare.clean_attributes(var.case_attributes(cases, t, STUDY)), "long"),
-             stage(prepare.clean_attributes(var.control_attributes(capped, t, STUDY)), "long")]
+             stage(prepare.clean_attributes(var.control_attributes(control, t, STUDY)), "long")]
     vocab = vocabulary(*longs)
     hot = multi_hot(longs[0].unionByName(longs[1]), "asset_name", vocab)
     names = column_names(vocab)
@@ -465,29 +466,30 @@ _FREE_SPACE = """select distinct asset_name, min_free_space_by_type / nullif(fre
     f"select asset_name, round(pct, 6) as fs_pct from ({_FREE_SPACE}) where pct is not null"))
 def free_space_share(spark, d):
     t = tables(spark, d)
-    cases, capped = _both(t)
-    pct = _all_free_space(t, cases, capped)
+    cases, control = _both(t)
+    pct = _all_free_space(t, cases, control)
     return _round(pct.filter(F.col("fs_pct").isNotNull()), "fs_pct")
 
 
-def _all_free_space(t, cases, capped):
+def _all_free_space(t, cases, control):
     software = stage(var.case_software(cases, t, STUDY), "software")
-    types = var.control_latest(capped, t, STUDY).select("asset_name", "device_type")
+    history = stage(var.control_history(control, t, STUDY), "control-history")
+    types = var.control_latest(control, t, STUDY, history).select("asset_name", "device_type")
     own = prepare.free_space_pct(software.select("asset_name", "device_type", "free_disk_space").select(
         "asset_name", "free_disk_space"), software.select("asset_name", "device_type").distinct(), t)
-    return own.unionByName(prepare.free_space_pct(var.control_free_space(t, STUDY), types, t)).distinct()
+    return own.unionByName(prepare.free_space_pct(var.control_free_space(history), types, t)).distinct()
 
 
 _WALL_LABELS = {
     "wall_labels": """select distinct asset_name as asset_id, 1 as y_flag from sw where device_type = 'WALLBOARD'
-union all select distinct asset_tag, 0 from capped where device_type = 'WALLBOARD'""",
+union all select distinct asset_tag, 0 from clean where device_type = 'WALLBOARD'""",
 }
 
 
 def _wide(spark, d):
     t = tables(spark, d)
-    cases, capped = _both(t)
-    return prepare.wide_table(cases, capped, t, STUDY, bins="ordinal")
+    cases, control = _both(t)
+    return prepare.wide_table(cases, control, t, STUDY, bins="ordinal")
 
 
 @query("wide_table", study_sql(f"""
@@ -496,22 +498,21 @@ select asset_id, y_flag, coalesce(round(any_value(avg_campaigns), 6), 0) as avg_
        coalesce(round(any_value(avg_days), 6), 0) as avg_days, coalesce(max(clinic_had_mia), 0) as clinic_had_mia,
        coalesce(round(any_value(heart), 6), 0) as heart
 from wall_labels
-left join (select * from ({_MONTHLY.format(walls='mia_walls')}) union all ({_MONTHLY.format(walls='capped_walls')})) using (asset_id)
+left join (select * from ({_MONTHLY.format(walls='mia_walls')}) union all ({_MONTHLY.format(walls='control_walls')})) using (asset_id)
 left join (select asset_id, vd as aug from ({_DAILY.format(walls='mia_walls')}) where m = 8
-           union all select asset_id, vd from ({_DAILY.format(walls='capped_walls')}) where m = 8) using (asset_id)
+           union all select asset_id, vd from ({_DAILY.format(walls='control_walls')}) where m = 8) using (asset_id)
 left join power using (asset_id)
 left join (select asset_name as asset_id, clinic_had_mia from mia_clinic
-           union select asset_name, clinic_had_mia from capped_clinic) using (asset_id)
+           union select asset_name, clinic_had_mia from control_clinic) using (asset_id)
 left join (select asset_id, avg_touches as heart from ({_touch_sql('mia_walls')}) where anatomy_model = 'Heart'
-           union all select asset_id, avg_touches from ({_touch_sql('capped_walls')}) where anatomy_model = 'Heart') using (asset_id)
+           union all select asset_id, avg_touches from ({_touch_sql('control_walls')}) where anatomy_model = 'Heart') using (asset_id)
 group by asset_id, y_flag""", _WALL_LABELS))
 def wide_table(spark, d):
     """One row per device of the studied type; a selection of the columns is checked."""
     wide = _wide(spark, d).df
-    heart = F.col("Heart") if "Heart" in wide.columns else F.lit(0.0)
     return _round(wide.select("asset_id", "y_flag", "avg_campaigns",
                               F.col("AUG_avg_video_dispalys").alias("aug_video_displays"), "avg_times", "avg_days",
-                              "clinic_had_mia", heart.alias("heart")),
+                              "clinic_had_mia", F.col("Heart").alias("heart")),
                   "avg_campaigns", "aug_video_displays", "avg_days", "heart")
 
 
@@ -528,9 +529,9 @@ where (variable, value) in (select (variable, value) from (
 def wide_flag_sums(spark, d):
     """Column sums of the wide table's attribute flags."""
     t = tables(spark, d)
-    cases, capped = _both(t)
+    cases, control = _both(t)
     sep = "\u0001"
-    wide = prepare.wide_table(cases, capped, t, STUDY, naming=lambda n: n, bins="ordinal")
+    wide = prepare.wide_table(cases, control, t, STUDY, naming=lambda n: n, bins="ordinal")
     split = {c: next(((v, c[len(v) + 1:]) for v in prepare_variables() if c.startswith(v + "_")), None)
              for c in wide.flags}
     kept = {c: p for c, p in split.items() if p}
@@ -566,8 +567,8 @@ select asset_id, y_flag from (select *, row_number() over (order by md5(asset_id
 def balanced_devices(spark, d):
     """Sampling needs the labels only, not the wide rows."""
     t = tables(spark, d)
-    cases, capped = _both(t)
-    found = stage(prepare.device_labels(var.case_software(cases, t, STUDY), capped, STUDY), "labels")
+    cases, control = _both(t)
+    found = stage(prepare.device_labels(var.case_software(cases, t, STUDY), control, STUDY), "labels")
     return prepare.balanced(prepare.Wide(found, [], []), STUDY).df
 
 
