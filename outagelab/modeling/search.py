@@ -32,7 +32,6 @@ def kfold_metrics(data: DataFrame, estimators: Mapping[str, object], k: int, fol
     The fits are independent jobs over the kept rows and run side by side, like those of a
     cross-validator; all predictions are then counted in one aggregate.
     """
-    data = data.persist()
     spark = data.sparkSession
 
     @inheritable_thread_target(spark)
@@ -72,7 +71,7 @@ def draw(maps: Sequence[dict], n: int, seed: int = 42) -> list[dict]:
 
 
 def search(data: DataFrame, estimator, maps: Sequence[dict], k: int = 5, metric: str | Evaluator = "accuracy",
-           seed: int = 42, parallelism: int = 4, fold: str | None = None) -> CrossValidatorModel:
+           seed: int = 42, parallelism: int = 8, fold: str | None = None) -> CrossValidatorModel:
     """Cross-validate every map and refit the best one on all rows."""
     evaluator = metric if isinstance(metric, Evaluator) else MulticlassClassificationEvaluator(
         metricName={"f1_weighted": "f1"}.get(metric, metric))
@@ -84,8 +83,9 @@ def search(data: DataFrame, estimator, maps: Sequence[dict], k: int = 5, metric:
 
 
 def randomized_search(data: DataFrame, estimator, choices: Mapping[str, Sequence], n: int = 5, k: int = 5,
-                      metric: str = "f1_weighted", seed: int = 42, parallelism: int = 4) -> CrossValidatorModel:
-    return search(data, estimator, draw(grid(estimator, choices), n, seed), k, metric, seed, parallelism)
+                      metric: str = "f1_weighted", seed: int = 42, parallelism: int = 8,
+                      fold: str | None = None) -> CrossValidatorModel:
+    return search(data, estimator, draw(grid(estimator, choices), n, seed), k, metric, seed, parallelism, fold)
 
 
 def logistic_grid(estimator, rows: int, costs=LOGISTIC_C, penalties=PENALTIES) -> list[dict]:
@@ -101,8 +101,9 @@ def tree_grid(estimator, impurities=TREE_IMPURITIES, depths=TREE_DEPTHS, leaves=
     return grid(estimator, {"impurity": impurities, "maxDepth": depths, "minInstancesPerNode": leaves})
 
 
-def search_table(spark, fitted: CrossValidatorModel, maps: Sequence[dict]) -> DataFrame:
+def search_table(spark, fitted: CrossValidatorModel, maps: Sequence[dict] | None = None) -> DataFrame:
     """One row per tried map: its parameters as text and its mean score."""
+    maps = fitted.getEstimatorParamMaps() if maps is None else maps
     rows = [(", ".join(sorted(f"{p.name}={v}" for p, v in m.items())), float(s))
             for m, s in zip(maps, fitted.avgMetrics, strict=True)]
     return spark.createDataFrame(rows, "params STRING, score DOUBLE")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,19 +16,30 @@ from ..modeling import importance as imp
 from ..modeling import search as sr
 from ..operators.cohort import class_weights, fold_by_rank
 from ..operators.features import safe_name, variance_filter
-from .prepare import Wide
+from .prepare import SHARES, Wide
+from .tables import category_profile, flags_to_drop
 
 # Columns the study removed as leaks before modelling.
 LEAKS = ("clinic_had_mia", "sku_P-WAL-107-ELC-03", "sku_P-WAL-106-ELC-01")
 
+# A fit's iterations are one small job each; fewer rows than this are not worth a task of their own.
+ROWS_PER_TASK = 10_000
+
 
 def split_part(splits: Wide, part: str) -> DataFrame:
     return splits.df.filter(F.col("split") == part)
 
 
-def selected_features(splits: Wide, drop: Sequence[str] = LEAKS, threshold: float = 0.09) -> list[str]:
-    """Features without leaks whose variance on train is above the threshold."""
-    gone = {*drop, *map(safe_name, drop)}
+def drop_list(splits: Wide, min_pct: float = 80.0, max_devices: int = 200) -> list[str]:
+    """Flags that the category profile finds nearly all in one class; at most one name per column."""
+    found = flags_to_drop(category_profile(splits), min_pct, max_devices)
+    return sorted(r["variable"] for r in found.collect())
+
+
+def selected_features(splits: Wide, drop: Sequence[str] = LEAKS, threshold: float = 0.09,
+                      profiled: Sequence[str] = ()) -> list[str]:
+    """Features without leaks and without the ``profiled`` drop list, whose variance on train is above the threshold."""
+    gone = {*drop, *map(safe_name, drop), *profiled}
     kept = [c for c in splits.features if c not in gone]
     return variance_filter(split_part(splits, "train"), kept, threshold)
 
@@ -34,49 +48,80 @@ def vectors(splits: Wide, part: str, features: Sequence[str]) -> DataFrame:
     return est.assemble(split_part(splits, part), features, splits.label, keep=[splits.key])
 
 
+@contextmanager
+def kept(df: DataFrame):
+    """Rows that many fits read, in no more partitions than they are worth, released afterwards."""
+    rows = df.persist()
+    try:
+        yield rows.coalesce(max(1, math.ceil(rows.count() / ROWS_PER_TASK)))
+    finally:
+        rows.unpersist()
+
+
+def folds(splits: Wide, features: Sequence[str], k: int, seed: int) -> DataFrame:
+    """Training vectors with a fold per key: the same folds for every partitioning and every search."""
+    return fold_by_rank(vectors(splits, "train", features), splits.key, k, seed)
+
+
 def baseline_scores(splits: Wide, features: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Fold scores of the baseline models, one row per model and fold."""
-    folds = fold_by_rank(vectors(splits, "train", features), splits.key, k, seed).persist()
-    return sr.kfold_metrics(folds, est.baselines(folds.count(), seed), k)
+    with kept(folds(splits, features, k, seed)) as data:
+        return sr.kfold_metrics(data, est.baselines(data.count(), seed), k)
+
+
+def predictions(model, splits: Wide, features: Sequence[str]) -> DataFrame:
+    return est.scored(model, est.assemble(splits.df, features, splits.label, keep=[splits.key, "split"])).select(
+        "split", "label", "prediction", "score")
 
 
 def evaluate(model, splits: Wide, features: Sequence[str]) -> DataFrame:
     """Confusion counts, rates and AUC of a fitted model, one row per split."""
-    rows = est.scored(model, est.assemble(splits.df, features, splits.label, keep=[splits.key, "split"])).select(
-        "split", "label", "prediction", "score").persist()
+    rows = predictions(model, splits, features)
     rates = ev.rate_set(ev.confusion(rows, by=["split"]))
     return rates.join(ev.auc(rows, by=["split"]), "split")
 
 
+def report(model, splits: Wide, features: Sequence[str]) -> DataFrame:
+    """Per-class report of a fitted model on each split."""
+    rows = predictions(model, splits, features)
+    parts = [ev.classification_report(rows.filter(F.col("split") == part)).withColumn("split", F.lit(part))
+             for part, _ in SHARES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def roc(model, splits: Wide, features: Sequence[str]) -> DataFrame:
+    """ROC points of a fitted model on each split."""
+    return ev.roc_points(predictions(model, splits, features), by=["split"])
+
+
 def tuned_forest(splits: Wide, features: Sequence[str], n: int = 5, k: int = 5, trees=sr.FOREST_TREES,
                  depths=sr.FOREST_DEPTHS, leaves=sr.LEAF_SIZES, seed: int = 42):
     """Random forest from a randomized search with balanced class weights and weighted f1."""
-    data = class_weights(vectors(splits, "train", features), "label").persist()
-    base = est.random_forest(weight_col="weight", seed=seed)
-    fitted = sr.randomized_search(data, base, {"numTrees": trees, "maxDepth": depths,
-                                               "minInstancesPerNode": leaves}, n, k, seed=seed)
-    return fitted.bestModel
+    with kept(class_weights(folds(splits, features, k, seed), "label")) as data:
+        base = est.random_forest(weight_col="weight", seed=seed)
+        return sr.randomized_search(data, base, {"numTrees": trees, "maxDepth": depths, "minInstancesPerNode": leaves},
+                                    n, k, seed=seed, fold="fold")
 
 
 def tuned_logistic(splits: Wide, features: Sequence[str], k: int = 5, costs=sr.LOGISTIC_C,
                    penalties=sr.PENALTIES, seed: int = 42):
-    data = vectors(splits, "train", features).persist()
-    rows = data.count()
-    base = est.logistic(1.0, rows)
-    return sr.search(data, base, sr.logistic_grid(base, rows, costs, penalties), k, seed=seed).bestModel
+    with kept(folds(splits, features, k, seed)) as data:
+        rows = data.count()
+        base = est.logistic(1.0, rows)
+        return sr.search(data, base, sr.logistic_grid(base, rows, costs, penalties), k, seed=seed, fold="fold")
 
 
 def tuned_svm(splits: Wide, features: Sequence[str], k: int = 5, costs=sr.SVM_C, seed: int = 42):
-    data = vectors(splits, "train", features).persist()
-    rows = data.count()
-    base = est.linear_svm(0.1, rows)
-    return sr.search(data, base, sr.svm_grid(base, rows, costs), k, seed=seed).bestModel
+    with kept(folds(splits, features, k, seed)) as data:
+        rows = data.count()
+        base = est.linear_svm(0.1, rows)
+        return sr.search(data, base, sr.svm_grid(base, rows, costs), k, seed=seed, fold="fold")
 
 
 def tuned_tree(splits: Wide, features: Sequence[str], k: int = 5, seed: int = 42, **ranges):
-    data = vectors(splits, "train", features).persist()
-    base = est.decision_tree(seed=seed)
-    return sr.search(data, base, sr.tree_grid(base, **ranges), k, seed=seed).bestModel
+    with kept(folds(splits, features, k, seed)) as data:
+        base = est.decision_tree(seed=seed)
+        return sr.search(data, base, sr.tree_grid(base, **ranges), k, seed=seed, fold="fold")
 
 
 def importances(spark, model, features: Sequence[str]) -> DataFrame:

@@ -1,6 +1,7 @@
-"""Training, search, ablation and explanation on the customer table.
+"""Training, search, ablation and explanation on the customer table, with the study's full ranges.
 
-Fitted weights depend on the optimizer, so these queries have no check SQL.
+Fitted weights depend on the optimizer, so these results have no check SQL; ``model_checks`` registers what SQL can say
+about the same models.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from ..modeling import evaluation as ev
 from ..modeling import importance as imp
 from ..modeling import search as sr
 from ..modeling.explain import explain_rows
-from ..operators.cohort import class_weights, fold_by_rank
+from ..operators.cohort import class_weights
 from ..operators.features import ZScore
 from ..plans import models
 from ..plans.prepare import Wide
@@ -27,6 +28,8 @@ from .operator_queries import FLAGS, NUMERICS, customer_wide
 from .registry import query
 
 FEATURES = [*FLAGS, *NUMERICS]
+# Trees of the searched forests here: a tenth of the study's, which are the default of ``models.tuned_forest``.
+TREES = tuple(n // 10 for n in sr.FOREST_TREES)
 
 
 def prepared(spark, d) -> Wide:
@@ -72,7 +75,7 @@ def train_dt(spark, d):
 def train_rf(spark, d):
     splits = prepared(spark, d)
     data = class_weights(models.vectors(splits, "train", FEATURES), "label").persist()
-    return _report(est.random_forest(20, 6, 5, weight_col="weight").fit(data), splits)
+    return _report(est.random_forest(100, est.MAX_DEPTH, 5, weight_col="weight").fit(data), splits)
 
 
 @query("train_nb")
@@ -82,7 +85,7 @@ def train_nb(spark, d):
 
 @query("train_gbt")
 def train_gbt(spark, d):
-    return _fit_and_report(spark, d, lambda n: est.boosted_trees(10, 3))
+    return _fit_and_report(spark, d, lambda n: est.boosted_trees())
 
 
 @query("train_nb_embeddings")
@@ -98,27 +101,43 @@ def train_nb_embeddings(spark, d):
 def baseline_kfold(spark, d):
     """Fold scores of the five baselines, summarised per model."""
     splits = prepared(spark, d)
-    scores = models.baseline_scores(splits, models.selected_features(splits, drop=["returned"]), k=3)
+    scores = models.baseline_scores(splits, models.selected_features(splits, drop=["returned"]))
     return ev.score_summary(scores, ["train_acc", "test_acc", "fpr"], by=["model"])
 
 
 @query("grid_search")
 def grid_search(spark, d):
     """Every tried logistic setting with its cross-validated accuracy."""
+    return sr.search_table(spark, models.tuned_logistic(prepared(spark, d), FEATURES))
+
+
+@query("svm_search")
+def svm_search(spark, d):
+    """Every tried SVM cost with its cross-validated accuracy."""
+    return sr.search_table(spark, models.tuned_svm(prepared(spark, d), FEATURES))
+
+
+@query("model_report")
+def model_report(spark, d):
+    """Per-class report of the logistic model on each split."""
+    splits = prepared(spark, d)
+    data, rows = _train(spark, splits)
+    return models.report(est.logistic(1.0, rows).fit(data), splits, FEATURES)
+
+
+@query("model_roc")
+def model_roc(spark, d):
+    """ROC points of the SVM's margin on each split."""
     splits = prepared(spark, d)
     data, rows = _train(spark, splits)
-    base = est.logistic(1.0, rows, maxIter=30)
-    maps = sr.logistic_grid(base, rows, costs=(0.01, 1.0))
-    folds = fold_by_rank(data, "asset_id", 3)
-    return sr.search_table(spark, sr.search(folds, base, maps, k=3, fold="fold"), maps)
+    return models.roc(est.linear_svm(0.1, rows).fit(data), splits, FEATURES)
 
 
 @query("random_search")
 def random_search(spark, d):
     """Randomized forest search with balanced weights, reported on each split."""
     splits = prepared(spark, d)
-    model = models.tuned_forest(splits, FEATURES, n=2, k=2, trees=(10, 20), depths=(5,))
-    return _report(model, splits)
+    return _report(models.tuned_forest(splits, FEATURES, trees=TREES).bestModel, splits)
 
 
 def _importance(spark, d, make):
@@ -130,15 +149,15 @@ def _importance(spark, d, make):
 query("importance_lr")(partial(_importance, make=lambda n: est.logistic(1.0, n)))
 query("importance_svc")(partial(_importance, make=lambda n: est.linear_svm(0.1, n)))
 query("importance_dt")(partial(_importance, make=lambda n: est.decision_tree()))
-query("importance_rf")(partial(_importance, make=lambda n: est.random_forest(20, 6)))
+query("importance_rf")(partial(_importance, make=lambda n: est.random_forest()))
 
 
 @query("ablation")
 def ablation(spark, d):
     """Forest importances with all features and without the segment family."""
     splits = prepared(spark, d)
-    fitted = sr.ablation(lambda cols: models.vectors(splits, "train", cols).persist(),
-                         lambda data: est.random_forest(20, 6).fit(data), FEATURES, "segment_")
+    fitted = sr.ablation(lambda cols: models.vectors(splits, "train", cols),
+                         lambda data: est.random_forest().fit(data), FEATURES, "segment_")
     return ev.compare_importances({k: imp.tree_importance(spark, m, cols) for k, (m, cols) in fitted.items()})
 
 
@@ -161,9 +180,9 @@ def explain_batch(spark, d):
     """Mean local weight of each feature over the devices of the validation split."""
     splits = prepared(spark, d)
     data, _ = _train(spark, splits)
-    model = est.random_forest(10, 5).fit(data)
+    model = est.random_forest().fit(data)
     rows = models.vectors(splits, "valid", FEATURES)
-    local = explain_rows(model, rows, "asset_id", FEATURES, samples=60)
+    local = explain_rows(model, rows, "asset_id", FEATURES)
     return local.groupBy("feature").agg(F.avg("weight").alias("mean_weight"),
                                         F.avg(F.abs("weight")).alias("mean_size"),
                                         F.count(F.lit(1)).alias("devices"))
@@ -177,6 +196,17 @@ def study_model(spark, d):
 
     splits = normalised_splits(_sampled(spark, d), STUDY)
     splits = Wide(stage(splits.df, "splits"), splits.flags, splits.numerics)
-    features = models.selected_features(splits)
-    model = models.tuned_forest(splits, features, n=1, k=2, trees=(20,), depths=(5,))
-    return models.evaluate(model, splits, features)
+    features = models.selected_features(splits, profiled=models.drop_list(splits))
+    return models.evaluate(models.tuned_forest(splits, features, trees=TREES).bestModel, splits, features)
+
+
+@query("study_drop_list")
+def study_drop_list(spark, d):
+    """Features of the study that are left after leaks, profiled drop list and variance."""
+    from .study_queries import STUDY, _sampled
+    from ..plans.prepare import normalised_splits
+
+    splits = normalised_splits(_sampled(spark, d), STUDY)
+    splits = Wide(stage(splits.df, "splits"), splits.flags, splits.numerics)
+    features = models.selected_features(splits, profiled=models.drop_list(splits))
+    return spark.createDataFrame([(f,) for f in features], "feature STRING")

@@ -79,3 +79,10 @@ def test_explanation_recovers_a_linear_effect(splits):
     local = explain_rows(model, rows, "asset_id", ["signal", "noise"], samples=40)
     mean = {r.feature: r.m for r in local.groupBy("feature").agg(F.avg("weight").alias("m")).collect()}
     assert mean["signal"] > 3 * abs(mean["noise"]) > 0
+
+
+def test_depth_beyond_the_limit_is_an_error():
+    with pytest.raises(ValueError):
+        est.decision_tree(max_depth=31)
+    with pytest.raises(ValueError):
+        est.random_forest(max_depth=50)

@@ -238,3 +238,13 @@ def test_nonzero_profile_and_null_columns(spark):
     df = spark.createDataFrame([(1, 0, 2), (2, None, 0)], "k INT, a INT, b INT")
     assert rows(fe.nonzero_profile(df, "k", ["a", "b"])) == [(1, "b", 2.0)]
     assert rows(pr.null_columns(df, ["a", "b"])) == [("a", 1), ("b", 0)]
+
+
+def test_vocabulary_limit_counts_columns_only(spark):
+    """Values that one cohort holds alone become no columns, so they do not count against the limit."""
+    own = spark.range(50).selectExpr("'v' as variable", "concat('x', id) as value", "1 as src")
+    both = spark.createDataFrame([("v", c, s) for c in ("a", "b", "z") for s in (1, 2)], "variable STRING, value STRING, src INT")
+    rows = own.unionByName(both)
+    assert fe.vocabulary_by_source(rows, "src", max_columns=2) == {"v": ["a", "b"]}
+    with pytest.raises(ValueError):
+        fe.vocabulary_by_source(rows, "src", max_columns=1)

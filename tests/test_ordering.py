@@ -45,8 +45,7 @@ def brute_latest(cases, history):
     return out
 
 
-@pytest.mark.parametrize("prefilter", [True, False])
-def test_latest_in_interval_equals_brute_force(spark, prefilter):
+def test_latest_in_interval_equals_brute_force(spark):
     history = skewed_rows(400, 5)
     rng = random.Random(8)
     cases = []
@@ -55,7 +54,7 @@ def test_latest_in_interval_equals_brute_force(spark, prefilter):
         cases.append(("hot" if i % 3 == 0 else f"k{rng.randrange(14)}", end - dt.timedelta(days=rng.randrange(-3, 40)), end, i))
     c = spark.createDataFrame(cases, "k STRING, s DATE, e DATE, i INT")
     h = spark.createDataFrame(history, "k STRING, d DATE, v INT")
-    got = latest_in_interval(c, h, ["k"], "s", "e", "d", ["v"], prefilter=prefilter).collect()
+    got = latest_in_interval(c, h, ["k"], "s", "e", "d", ["v"]).collect()
     assert len(got) == len(cases)
     assert {r.i: (r.d, r.v) for r in got} == brute_latest(cases, history)
 
@@ -129,7 +128,18 @@ def test_exact_quantiles_with_one_value_holding_a_third(spark):
         assert got[p] == pytest.approx(np.quantile(x, p), abs=1e-9)
 
 
-def test_checked_broadcast_falls_back_beyond_the_bound(spark):
-    df = spark.range(50)
-    assert od.checked_broadcast(df, 49) is df
-    assert od.checked_broadcast(df, 50) is not df
+def test_lookup_has_one_plan_and_one_row_per_point(spark):
+    """The plan does not depend on the number of keys, and cases that share key and moment are looked up once."""
+    h = spark.range(200).selectExpr("cast(id as string) as k", "date '2020-01-01' as d", "1 as v")
+    plans = []
+    for n in (50, 150_000):
+        c = spark.range(n).selectExpr("cast(id % 100 as string) as k", "date '2019-12-01' as s", "date '2020-02-01' as e")
+        found = latest_in_interval(c, h, ["k"], "s", "e", "d", ["v"])
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi"))
+        assert found.filter("v = 1").count() == n
+    assert plans[0] == plans[1] > 0
+    mostly = spark.createDataFrame([(None, 1)] * 30 + [("a", 2)] * 30, "k STRING, i INT").selectExpr(
+        "k", "date '2019-12-01' as s", "date '2020-02-01' as e", "i")
+    known = spark.createDataFrame([("a", DAY0, 7), (None, DAY0, 9)], "k STRING, d DATE, v INT")
+    got = latest_in_interval(mostly, known, ["k"], "s", "e", "d", ["v"]).groupBy("k", "v").count().collect()
+    assert {(r.k, r.v, r["count"]) for r in got} <= {(None, None, 30), ("a", 7, 30), ("a", None, 30)} and len(got) == 2
