@@ -7,7 +7,7 @@ named in the arguments are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the word rules.
@@ -46,3 +46,11 @@ def document_key(id_col: str, text_col: str) -> Column:
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Key and text, free of the other columns and their names."""
     return docs.select(document_key(id_col, text_col).alias(KEY), F.col(text_col).alias(TEXT))
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs now, after a stage has been written.
+
+    The cleaner acts when the driver's collector finds a shuffle unused, which on a large heap can take very long.
+    """
+    spark.sparkContext._jvm.System.gc()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import discard, stage
-from .common import KEY, TEXT, document_key, keyed
+from .common import KEY, TEXT, document_key, keyed, release_shuffles
 
 WINDOW = 50
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)   # odd, so that they have inverses modulo 2**64
@@ -164,11 +164,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = marks.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
     wanted = marks.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("shared"))
     texts = stage(source.withColumn("id", F.col(KEY)["id"]).join(wanted, "id").select(KEY, TEXT, "shared"), "substring-texts")
+    release_shuffles(docs.sparkSession)
     windows = stage(_windows(texts, window), "substring-windows")
     first = windows.groupBy("h1", "h2").agg(
         F.min(F.col(KEY)["id"]).alias("a"), F.max(F.col(KEY)["id"]).alias("b")).where("a < b").select("h1", "h2", "a")
-    removed = windows.join(first, ["h1", "h2"]).where(F.col(KEY)["id"] > F.col("a")).groupBy(KEY).agg(
-        F.collect_set("start").alias("starts"))
+    removed = stage(windows.join(first, ["h1", "h2"]).where(F.col(KEY)["id"] > F.col("a")).groupBy(KEY).agg(
+        F.collect_set("start").alias("starts")), "substring-starts")
+    discard(windows)
+    release_shuffles(docs.sparkSession)
     cut = texts.drop("shared").join(removed, KEY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +193,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = source.schema[KEY].dataType.simpleString()
     cuts = stage(cut.mapInArrow(run, f"{KEY} {kind}, spans array<struct<start:int,end:int>>, n_removed long, kept string")
                  .dropDuplicates([KEY]), "substring-cuts")
-    discard(windows, texts)
+    discard(texts, removed)
+    release_shuffles(docs.sparkSession)
     return summary.drop("anchors").join(cuts, KEY, "left").select(
         KEY, "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("spans"),
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept", "digest").alias("kept_sha256"))
