@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import discard, stage
-from .common import KEY, TEXT, document_key, keyed
+from .common import KEY, TEXT, document_key, keyed, release_shuffles
 from .substrings import BASES, Roller, least_of
 from .tiles import shuffle_partitions
 
@@ -362,6 +362,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = marks.groupBy("anchor").count().where("count > 1").select("anchor")
     wanted = marks.join(shared, "anchor").groupBy(KEY).agg(F.collect_set("anchor").alias("shared"))
     texts = stage(source.join(wanted, KEY).select(KEY, TEXT, "shared").dropDuplicates([KEY]), "suffix-texts")
+    discard(summary)
+    release_shuffles(docs.sparkSession)
     runs = stage(_stretches(texts, length), "suffix-stretches")
     place = F.struct(KEY, "start")
     same = stage(runs.groupBy("anchor", "h1", "h2").agg(F.min(place).alias("first"), F.max("twice").alias("twice")), "suffix-classes")
@@ -390,7 +392,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stretches = texts.select(KEY, TEXT).join(picked, KEY).mapInArrow(
         cut_out, f"{KEY} {kind}, anchor long, start long, text binary")
     repeats = _sorted_shards(stretches, length).unionByName(copied)
-    removed = repeats.groupBy(KEY).agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    release_shuffles(docs.sparkSession)
+    removed = stage(repeats.groupBy(KEY).agg(F.collect_list(F.struct("start", "windows")).alias("runs")), "suffix-removed")
+    release_shuffles(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -419,7 +423,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     span_type = "array<struct<start:bigint,end:bigint>>"
     cuts = stage(texts.select(KEY, TEXT).join(removed, KEY).mapInArrow(
         cut, f"{KEY} {kind}, spans {span_type}, n_removed long, kept string"), "suffix-cuts")
-    discard(runs, texts, same, summary)
+    discard(runs, texts, same, removed)
+    release_shuffles(docs.sparkSession)
     whole = F.coalesce(F.col("first") != F.col(KEY), F.lit(False))
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     return marked.join(cuts, KEY, "left").select(
