@@ -5,10 +5,16 @@ document). Suffixes can only share that many bytes if they share an anchor, the
 their first ``length`` bytes. Anchors therefore cut the corpus into shards that can be sorted apart: stretches of text with
 an anchor of their own drop out, equal stretches are one, and only anchors with several different stretches are sorted.
 
+An anchor may have any number of different stretches (a passage in many documents, with other text around it), or a very
+long one (a text that repeats itself). Beyond ``ANCHOR_BYTES`` its windows are split by a second key that equal windows
+share: the half of the anchor's possible offsets in the window, with the bytes that all windows of that half cover. Parts
+that are still too large are halved again; at a single offset the key is the window itself, so every part gets small.
+
 A shard is sorted by induction: S* suffixes (those after a fall and before a rise) are sorted first, then all falling
 (L) suffixes are induced from left to right and all rising (S) suffixes from right to left. The sorter's priority queue
-keeps one first-in-first-out run for each leading byte; runs move to disk when they outgrow their share of memory, so a
-shard may be larger than that. Neighbours in the suffix order that share ``length`` bytes are repeats of each other.
+keeps one first-in-first-out run for each leading byte; runs move to disk when they outgrow their share of memory. The text and
+the finished order of a shard are in memory, which the bounds on shards and anchors limit. Neighbours in the suffix order
+that share ``length`` bytes are repeats of each other.
 """
 
 from __future__ import annotations
@@ -16,10 +22,12 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +38,8 @@ from .tiles import shuffle_partitions
 
 LENGTH = 100
 GRAM = 32
-SHARD_BYTES = 8 << 20     # text sorted at a time; a single anchor may exceed it
+SHARD_BYTES = 8 << 20     # text sorted at a time, but for the last anchor of a shard
+ANCHOR_BYTES = 1 << 20    # different stretches of an anchor beyond this are split by a second key
 QUEUE_BYTES = 64 << 20    # of a sorter's queue that stay in memory
 
 
@@ -316,25 +325,26 @@ def _sorted_shards(stretches: DataFrame, length: int) -> DataFrame:
                                            pa.array(np.concatenate(windows))], names=[KEY, "start", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, last = [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if held and size > SHARD_BYTES:
-                # Cut only between anchors: the first rows of this batch may belong to the last anchor.
-                last = held[-1].column(1)[-1].as_py()
-                anchor = batch.column(1).to_numpy()
-                cut = int(np.argmax(anchor != last)) if (anchor != last).any() else batch.num_rows
-                held.append(batch.slice(0, cut))
-                batch = batch.slice(cut)
-                if batch.num_rows:
+            # Cut only between anchors: the first rows of a batch may belong to the last anchor.
+            anchor = batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), batch.num_rows]
+            upto = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(3)).to_numpy())])
+            lo = 0
+            for a, b in zip(cuts, cuts[1:]):
+                if size > SHARD_BYTES and anchor[a] != last:
+                    if a > lo:
+                        held.append(batch.slice(lo, a - lo))
                     out = work(held)
                     if out is not None:
                         yield out
-                    held, size = [], 0
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.column(3).nbytes
+                    held, size, lo = [], 0, a
+                size += int(upto[b] - upto[a])
+                last = anchor[a]
+            held.append(batch.slice(lo))
         if held:
             out = work(held)
             if out is not None:
@@ -345,6 +355,120 @@ def _sorted_shards(stretches: DataFrame, length: int) -> DataFrame:
     return dealt.select(KEY, "anchor", "start", "text").mapInArrow(run, f"{KEY} {kind}, start long, windows long")
 
 
+def _cut_out(texts: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
+    """Bytes of the chosen stretches (anchor, key, start, windows)."""
+    picked = chosen.groupBy(KEY).agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("picked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, anchor, start, text = [], [], [], []
+            for k in range(batch.num_rows):
+                raw = _raw(batch.column(1)[k].as_py())
+                for p in batch.column(2)[k].as_py():
+                    rows.append(k)
+                    anchor.append(p["anchor"])
+                    start.append(p["start"])
+                    text.append(raw[p["start"]:p["start"] + p["windows"] + length - 1])
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows)), pa.array(anchor, pa.int64()), pa.array(start, pa.int64()),
+                     pa.array(text, pa.binary())], names=[KEY, "anchor", "start", "text"])
+
+    kind = texts.schema[KEY].dataType.simpleString()
+    return texts.select(KEY, TEXT).join(picked, KEY).mapInArrow(run, f"{KEY} {kind}, anchor long, start long, text binary")
+
+
+PIECE = ["anchor", "start", "at", "lo", "hi", "text"]
+
+
+def _units(stretches: DataFrame, length: int) -> DataFrame:
+    """The windows of each stretch by the place where their anchor first stands: ``at`` is its offset in the first window,
+    ``lo`` and ``hi`` (exclusive) bound the offsets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker = Anchorer(length)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                raw, anchor, start = batch.column(3)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
+                places = np.flatnonzero(worker.grams(raw).view(np.int64) == anchor)
+                windows = np.arange(len(raw) - length + 1)
+                where = np.searchsorted(places, windows)
+                cuts = np.concatenate([[0], np.flatnonzero(where[1:] != where[:-1]) + 1, [len(windows)]])
+                for first in range(0, len(cuts) - 1, 10_000):  # a long text has many
+                    lo, hi = cuts[:-1][first:first + 10_000], cuts[1:][first:first + 10_000]
+                    n = len(lo)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(np.full(n, k))), pa.array(np.full(n, anchor)), pa.array(start + lo),
+                         pa.array(places[where[lo]] - lo), pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, worker.span)),
+                         pa.array([raw[a:b + length - 1] for a, b in zip(lo.tolist(), hi.tolist())], pa.binary())],
+                        names=[KEY, *PIECE])
+
+    kind = stretches.schema[KEY].dataType.simpleString()
+    return stretches.mapInArrow(run, f"{KEY} {kind}, anchor long, start long, at long, lo long, hi long, text binary")
+
+
+def _halved(pieces: DataFrame, length: int) -> DataFrame:
+    """Each piece's windows by the half of its offsets they belong to.
+
+    ``anchor`` becomes a hash of the anchor, the half and the bytes that all windows of that half cover; ``h1`` and ``h2``
+    hash the piece's bytes.
+    """
+    gram = min(GRAM, length)
+    span = length - gram + 1
+
+    def digest_of(raw: bytes, *numbers: int) -> hashlib.blake2b:
+        return hashlib.blake2b(b"".join(n.to_bytes(8, "little", signed=True) for n in numbers) + raw, digest_size=16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], []
+            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in PIECE]
+            for k, (anchor, start, at, lo, hi, raw) in enumerate(zip(*cols)):
+                mid = (lo + hi) // 2
+                for a, b in ((lo, mid), (mid, hi)):
+                    first, last = max(0, at - b + 1), min(len(raw) - length, at - a)
+                    if first > last:
+                        continue
+                    shared = digest_of(raw[at - a:at + gram + span - b], anchor, a, b).digest()
+                    part = raw[first:last + length]
+                    own = digest_of(part).digest()
+                    rows.append(k)
+                    out.append((int.from_bytes(shared[:8], "little", signed=True), start + first, at - first, a, b, part,
+                                int.from_bytes(own[:8], "little", signed=True), int.from_bytes(own[8:], "little", signed=True)))
+            if rows:
+                *numbers, text, h1, h2 = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows)), *[pa.array(x, pa.int64()) for x in numbers], pa.array(text, pa.binary()),
+                     pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=[KEY, *PIECE, "h1", "h2"])
+
+    kind = pieces.schema[KEY].dataType.simpleString()
+    return pieces.select(KEY, *PIECE).mapInArrow(
+        run, f"{KEY} {kind}, anchor long, start long, at long, lo long, hi long, text binary, h1 long, h2 long")
+
+
+def _split_anchors(stretches: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Large anchors' stretches as pieces (key, anchor, start, text) of bounded anchors, and (key, start, windows) of pieces
+    that are copies of earlier ones."""
+    rows, small, copied = _halved(_units(stretches, length), length), [], []
+    span = length - min(GRAM, length) + 1
+    for _ in range(max(1, (span - 1).bit_length())):
+        rows = stage(rows, "suffix-pieces")
+        same = stage(rows.groupBy("anchor", "h1", "h2").agg(
+            F.min(F.struct(KEY, "start", "at", "lo", "hi", "text")).alias("first")), "suffix-piece-classes")
+        lead = same.select("anchor", "h1", "h2", F.struct(f"first.{KEY}", "first.start").alias("lead"))
+        copied.append(rows.join(lead, ["anchor", "h1", "h2"]).where(F.struct(KEY, "start") != F.col("lead")).select(
+            KEY, "start", (F.octet_length("text") - (length - 1)).cast("long").alias("windows")))
+        firsts = same.select("anchor", "first.*")
+        groups = stage(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+                       .where("n > 1"), "suffix-piece-groups")
+        small.append(firsts.join(groups.where(F.col("bytes") <= ANCHOR_BYTES), "anchor").select(KEY, "anchor", "start", "text"))
+        large = groups.where(F.col("bytes") > ANCHOR_BYTES).select("anchor")
+        if large.isEmpty():
+            break
+        rows = _halved(firsts.join(large, "anchor"), length)
+    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, copied)
+
+
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per document row: key, ``n_bytes``, ``spans`` (removed bytes, end exclusive), ``n_removed``, ``kept_sha256``.
 
@@ -366,31 +490,18 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     release_shuffles(docs.sparkSession)
     runs = stage(_stretches(texts, length), "suffix-stretches")
     place = F.struct(KEY, "start")
-    same = stage(runs.groupBy("anchor", "h1", "h2").agg(F.min(place).alias("first"), F.max("twice").alias("twice")), "suffix-classes")
-    copied = runs.join(same, ["anchor", "h1", "h2"]).where(place != F.col("first")).select(KEY, "start", "windows")
-    several = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice")
-    chosen = same.join(several.select("anchor"), "anchor").select("anchor", F.col(f"first.{KEY}").alias(KEY), F.col("first.start").alias("start"))
-    sizes = runs.select("anchor", KEY, "start", "windows")
-    picked = chosen.join(sizes, ["anchor", KEY, "start"]).groupBy(KEY).agg(
-        F.collect_list(F.struct("anchor", "start", "windows")).alias("picked"))
-
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, anchor, start, text = [], [], [], []
-            for k in range(batch.num_rows):
-                raw = _raw(batch.column(1)[k].as_py())
-                for p in batch.column(2)[k].as_py():
-                    rows.append(k)
-                    anchor.append(p["anchor"])
-                    start.append(p["start"])
-                    text.append(raw[p["start"]:p["start"] + p["windows"] + length - 1])
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), pa.array(anchor, pa.int64()), pa.array(start, pa.int64()),
-                     pa.array(text, pa.binary())], names=[KEY, "anchor", "start", "text"])
-
-    stretches = texts.select(KEY, TEXT).join(picked, KEY).mapInArrow(
-        cut_out, f"{KEY} {kind}, anchor long, start long, text binary")
+    same = stage(runs.groupBy("anchor", "h1", "h2").agg(
+        F.min(place).alias("first"), F.max("twice").alias("twice"), F.max("windows").alias("windows")), "suffix-classes")
+    copied = runs.join(same.drop("windows"), ["anchor", "h1", "h2"]).where(place != F.col("first")).select(KEY, "start", "windows")
+    several = stage(same.groupBy("anchor").agg(
+        F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.sum(F.col("windows") + (length - 1)).alias("bytes")).where(
+        "n > 1 or twice").select("anchor", "bytes"), "suffix-several")
+    chosen = same.join(several, "anchor").select(
+        "anchor", "bytes", F.col(f"first.{KEY}").alias(KEY), F.col("first.start").alias("start"), "windows")
+    stretches = _cut_out(texts, chosen.where(F.col("bytes") <= ANCHOR_BYTES), length)
+    if not several.where(F.col("bytes") > ANCHOR_BYTES).isEmpty():
+        pieces, again = _split_anchors(_cut_out(texts, chosen.where(F.col("bytes") > ANCHOR_BYTES), length), length)
+        stretches, copied = stretches.unionByName(pieces), copied.unionByName(again)
     repeats = _sorted_shards(stretches, length).unionByName(copied)
     release_shuffles(docs.sparkSession)
     removed = stage(repeats.groupBy(KEY).agg(F.collect_list(F.struct("start", "windows")).alias("runs")), "suffix-removed")

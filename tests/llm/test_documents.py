@@ -341,6 +341,32 @@ def test_suffixes(spark):
     assert suffixes.find_repeats(empty(spark)).count() == 0
 
 
+def test_suffixes_of_an_anchor_with_many_stretches(spark, monkeypatch):
+    import random
+    rng = random.Random(4)
+    limit, seen, found = 2000, set(), []
+    monkeypatch.setattr(suffixes, "ANCHOR_BYTES", limit, raising=False)
+    sort = suffixes._sorted_shards
+    monkeypatch.setattr(suffixes, "_sorted_shards", lambda s, n: found.append(
+        max(r.n for r in s.groupBy("anchor").agg(suffixes.F.sum(suffixes.F.octet_length("text")).alias("n")).collect())) or sort(s, n))
+    passage, tails = sentence(rng, 60), [sentence(rng, 9) for _ in range(3)]
+    data = [(k, sentence(rng, 12) + (" " if k % 3 else tails[k % 5 % 3]) + passage + tails[k % 3][:k % 40] + sentence(rng, 12), "s")
+            for k in range(80)]
+    data += [(100 + k, "du " * (900 + k), "s") for k in range(3)] + [(200, "é" * 1500, "s"), (None, sentence(rng, 3) + passage, "s")]
+    expected = set()
+    for d, t, _ in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0)):
+        raw, keep = t.encode(), bytearray(b"\1" * len(t.encode()))
+        for i in range(len(raw) - 99):
+            if raw[i:i + 100] in seen:
+                keep[i:i + 100] = bytes(100)
+            seen.add(raw[i:i + 100])
+        kept = bytes(c for c, k in zip(raw, keep) if k)
+        expected.add((d, len(raw), len(raw) - len(kept), len(re.findall(b"\0+", bytes(keep))), hashlib.sha256(kept).hexdigest()))
+    got = suffixes.digest(suffixes.find_repeats(documents(spark, data))).collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(data)
+    assert 0 < found[0] <= limit
+
+
 def test_induced_order():
     import random
 
