@@ -114,6 +114,60 @@ def test_licences(spark):
     assert licenses.licences(empty(spark)).count() == 0
 
 
+MIT = """The MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """Copyright 2020 Some One. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+1. Redistributions of source code must retain the above copyright notice."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,"""
+
+
+def test_wrapped_licences(spark):
+    rng = random.Random(8)
+    filler = lambda: "\n".join(sentence(rng, 12) for _ in range(4))
+    data = [(k, filler(), "s") for k in range(150)]
+    signs = ("{}", "// {}", " * {}", "# {}", "-- {}")
+    notices = {"MIT": MIT, "BSD-3-Clause": BSD, "GPL-3.0": GPL}
+    want = {}
+    for family, notice in notices.items():
+        for k, sign in enumerate(signs):
+            text = "\n".join(sign.format(x) for x in notice.split("\n"))
+            # Amid other text, with and without blank lines around it.
+            data.append((200 + len(want), filler() + ("\n\n" if k % 2 else "\n") + text + "\n" + filler(), "s"))
+            want[200 + len(want)] = (1, family)
+    narrow = "\n".join(GPL.split("\n\n")[0].split())
+    data += [(300, narrow, "s"), (301, GPL.replace("modify\n", "modify\n\n").replace("by\n", "by\n\n"), "s"),
+             (302, MIT + "\n\n" + GPL + "\nReleased under the MIT License.\n" + BSD, "s")]
+    want |= {300: (1, "GPL-3.0"), 302: (4, "BSD-3-Clause,GPL-3.0,MIT")}
+    got = {r.doc_id: (r.n_licences, r.families) for r in licenses.licences(documents(spark, data)).collect()}
+    assert len(got) == len(data) and {k: v for k, v in got.items() if v[0]} == want
+
+
+def test_no_template_without_a_needed_word():
+    needed = licenses._needed_words()
+    for _, text in licenses.TEMPLATES:
+        grams = licenses._plain_bigrams(text)
+        without = [g for g in grams if not any(w in needed for w in g.split())]
+        assert len(without) / len(grams) < licenses.CONFIRM
+
+
 def test_stages_hand_on_documents(spark, tmp_path):
     data, labels = graded(spark, 120)
     docs = documents(spark, data).select("doc_id", "text", "lang", "source", "n_chars")
