@@ -152,12 +152,21 @@ query("importance_dt")(partial(_importance, make=lambda n: est.decision_tree()))
 query("importance_rf")(partial(_importance, make=lambda n: est.random_forest()))
 
 
+def _study_features(spark, d):
+    """The study's splits, stored once, and its selected features."""
+    from .study_queries import STUDY, _sampled
+    from ..plans.prepare import normalised_splits
+
+    splits = normalised_splits(_sampled(spark, d), STUDY)
+    splits = Wide(stage(splits.df, "splits"), splits.flags, splits.numerics)
+    return splits, models.selected_features(splits, profiled=models.drop_list(splits))
+
+
 @query("ablation")
 def ablation(spark, d):
-    """Forest importances with all features and without the segment family."""
-    splits = prepared(spark, d)
-    fitted = sr.ablation(lambda cols: models.vectors(splits, "train", cols),
-                         lambda data: est.random_forest().fit(data), FEATURES, "segment_")
+    """Importances of the study's searched forests, with all features and without the software family."""
+    splits, features = _study_features(spark, d)
+    fitted = sr.ablation(lambda cols: cols, lambda cols: models.tuned_forest(splits, cols).bestModel, features, "software_")
     return ev.compare_importances({k: imp.tree_importance(spark, m, cols) for k, (m, cols) in fitted.items()})
 
 

@@ -62,6 +62,23 @@ def test_ablation_removes_the_family(splits):
     assert out["all"][0].numFeatures == 4 and out["without"][1] == ["signal", "noise", "flat"]
 
 
+def test_ablation_query_searches_the_study_table(spark, splits, monkeypatch):
+    from types import SimpleNamespace
+
+    from outagelab.queries import model_queries
+    calls = []
+
+    def search(of, features, **options):
+        calls.append((list(features), options))
+        return SimpleNamespace(bestModel=est.random_forest(3, 2).fit(models.vectors(of, "train", features)))
+
+    monkeypatch.setattr(model_queries, "_study_features", lambda spark, d: (splits, FEATURES), raising=False)
+    monkeypatch.setattr(model_queries, "prepared", lambda spark, d: splits)
+    monkeypatch.setattr(models, "tuned_forest", search)
+    out = model_queries.ablation(spark, "unused").collect()
+    assert calls == [(FEATURES, {}), (["signal", "noise", "flat"], {})] and len(out) == 4
+
+
 def test_model_file_round_trip(splits, tmp_path):
     model = est.logistic(1.0, 100).fit(models.vectors(splits, "train", FEATURES))
     imp.save_model(model, str(tmp_path / "m"))
