@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, licenses, lines, mix, quality, shards, simhash, sql, substrings, suffixes
+from . import (
+    decontaminate, embeddings, exact, licenses, lines, manifest, mix, quality, shards, simhash, sql, substrings, suffixes, trie,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +58,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licences(_table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.tampered_proofs(_table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.mark(_table(spark, sf_dir, "documents"), digests=True)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(trie.sequences(_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix_sources": op2_mix_sources,
@@ -67,8 +81,14 @@ QUERIES: dict[str, Query] = {
     "op8_substrings": op8_substrings,
     "op9_lines": op9_lines,
     "op10_licenses": op10_licenses,
+    "op11_manifest": op11_manifest,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": sql.DECONTAMINATE,
     "op9_lines": sql.LINES,
+    "op11_manifest": sql.MANIFEST,
+    "op12_exact_dedup": sql.EXACT,
+    "op13_prefix_trie": sql.TRIE,
 }

@@ -32,3 +32,84 @@ select doc_id, count(*) filter (where bare <> '')::bigint as n_lines, count(*) f
        sha256(coalesce(string_agg(line, chr(10) order by i) filter (where b.bare is null), '')) as kept_sha256
 from l left join b using (bare) group by doc_id
 """
+
+EXACT = """
+select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept,
+       sha256(coalesce(text, '')) as text_sha256
+from documents window g as (partition by coalesce(text, ''))
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id::varchar", "source", "lang", "n_chars::varchar", text))) + ")"
+
+
+# DuckDB has no crc32: the table of its 256 steps comes from eight shifts of each byte, the checksum from a fold over bytes.
+_CRC = """crc_table as (
+  select list(list_reduce([b] || range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by b) as t
+  from (select unnest(range(256))::bigint as b)),
+crc as (select id, xor(list_reduce([4294967295::bigint] || list_transform(string_split(id::varchar, ''), lambda x: ascii(x)::bigint),
+                                   lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) as c
+        from ids, crc_table)"""
+
+_LOWERED = f"translate(text, '{UPPER}', '{LOWER}')"
+
+# Levels are lists; ``up`` holds those of every language and, as language null of level kind 1, those over the subroots.
+MANIFEST = f"""
+with recursive ids as (select distinct doc_id as id from documents), {_CRC},
+d as (select doc_id, lang, {_leaf("text")} as leaf, {_leaf(_LOWERED)} as lowered,
+             row_number() over (partition by lang order by doc_id nulls first, {_leaf("text")}) - 1 as i
+      from documents),
+up as (select lang, 0 as level, list(leaf order by i) as l from d group by lang
+       union all
+       select lang, level + 1, list_transform(range((len(l) + 7) // 8), lambda k: sha256(array_to_string(l[8 * k + 1:8 * k + 8], '')))
+       from up where len(l) > 1),
+sub as (select lang, l[1] as subroot, row_number() over (order by lang nulls first) - 1 as i from up where len(l) = 1),
+over as (select 0 as level, list(subroot order by i) as l from sub
+         union all
+         select level + 1, list_transform(range((len(l) + 7) // 8), lambda k: sha256(array_to_string(l[8 * k + 1:8 * k + 8], '')))
+         from over where len(l) > 1),
+steps as (select d.doc_id, d.leaf, sub.subroot, u.level as level, l, d.i // (8::bigint ** u.level)::bigint as i
+          from d join up u on d.lang is not distinct from u.lang join sub on d.lang is not distinct from sub.lang where len(u.l) > 1
+          union all
+          select d.doc_id, d.leaf, sub.subroot, 1000 + o.level, l, sub.i // (8::bigint ** o.level)::bigint
+          from d join sub on d.lang is not distinct from sub.lang, over o where len(o.l) > 1),
+sides as (select doc_id, leaf, level, array_to_string(l[8 * (i // 8) + 1:i], '') as a, array_to_string(l[i + 2:8 * (i // 8) + 8], '') as b
+          from steps),
+path as (select doc_id, leaf, list({{'a': a, 'b': b}} order by level) as p, string_agg(a || b, '' order by level) as s
+         from sides group by all),
+walk as (select d.doc_id, d.lang, d.leaf, coalesce(p, []) as p, coalesce(s, '') as s, 1 as k,
+                case when c % 3 = 0 then coalesce(lowered, d.leaf) else d.leaf end as x
+         from d left join path on d.doc_id is not distinct from path.doc_id and d.leaf = path.leaf left join crc on crc.id = d.doc_id
+         union all
+         select doc_id, lang, leaf, p, s, k + 1, sha256(p[k].a || x || p[k].b) from walk where k <= len(p))
+select walk.doc_id, leaf, subroot, l[1] as root, sha256(s) as proof_sha256, x as folded_root, x = l[1] as verified
+from walk join sub on walk.lang is not distinct from sub.lang, over where k = len(p) + 1 and len(over.l) = 1
+"""
+
+TRIE = rf"""
+with t as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first) as i,
+                  coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+ids as (select distinct c as id from t), {_CRC},
+b as (select id as c, id - id % 20 as base, c % 4 as h, (select count(*) from t where t.c = id - id % 20 and i <= crc.c % 4) as lent
+      from crc),
+r as (select b.c, t.i, role, text from b join t on t.c = b.base and t.i <= b.h
+      union all select b.c, t.i - b.h + b.lent, role, text from b join t on t.c = b.c and t.i > b.h),
+p as (select c, i as d, len(regexp_extract_all(text, '[^ 	-
+]+')) as w,
+             sha256(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') over (partition by c order by i)) as k
+      from r union all select c, 0, 0, '' from b),
+n as (select d, k, min(c) as c, count(*) as n, any_value(w) as w from p group by d, k),
+ends as (select d, k, string_agg(c::varchar, ',' order by c) as l from (select c, max(d) as d, max_by(k, d) as k from p group by c) group by d, k),
+kids as (select q.d, q.k, count(*) as n from n join p q on q.c = n.c and q.d = n.d - 1 group by q.d, q.k),
+below as (select q.d, q.k, sum((n.n - 1) * n.w) as saved, count(*) filter (where kids.n is null) as leaves
+          from n left join kids using (d, k) join p q on q.c = n.c and q.d <= n.d group by q.d, q.k)
+select n.c as conv_id, n.d::bigint as depth, u.c as parent_conv_id, n.n as n_convs, coalesce(kids.n, 0) as n_children,
+       leaves as n_leaves, saved::bigint as saved_tokens, sha256(coalesce(l, '')) as ends_sha256
+from n join below using (d, k) left join kids using (d, k) left join ends using (d, k)
+left join p q on q.c = n.c and q.d = n.d - 1 left join n u on u.d = q.d and u.k = q.k
+"""
