@@ -6,12 +6,14 @@ import math
 from collections.abc import Sequence
 from contextlib import contextmanager
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..modeling import estimators as est
 from ..modeling import evaluation as ev
+from ..modeling import forest, kernel, linear, nested
 from ..modeling import importance as imp
 from ..modeling import search as sr
 from ..operators.cohort import class_weights, fold_by_rank
@@ -95,33 +97,41 @@ def roc(model, splits: Wide, features: Sequence[str]) -> DataFrame:
 
 
 def tuned_forest(splits: Wide, features: Sequence[str], n: int = 5, k: int = 5, trees=sr.FOREST_TREES,
-                 depths=sr.FOREST_DEPTHS, leaves=sr.LEAF_SIZES, seed: int = 42):
+                 depths=sr.FOREST_DEPTHS, leaves=sr.LEAF_SIZES, seed: int = 42) -> forest.ForestSearch:
     """Random forest from a randomized search with balanced class weights and weighted f1."""
     with kept(class_weights(folds(splits, features, k, seed), "label")) as data:
-        base = est.random_forest(weight_col="weight", seed=seed)
-        return sr.randomized_search(data, base, {"numTrees": trees, "maxDepth": depths, "minInstancesPerNode": leaves},
-                                    n, k, seed=seed, fold="fold")
+        drawn = sr.draw(list(product(trees, depths, leaves)), n, seed)
+        return forest.search(data, drawn, k, seed=seed, weight_col="weight")
 
 
 def tuned_logistic(splits: Wide, features: Sequence[str], k: int = 5, costs=sr.LOGISTIC_C,
-                   penalties=sr.PENALTIES, seed: int = 42):
+                   penalties=sr.PENALTIES, seed: int = 42) -> linear.LinearSearch:
     with kept(folds(splits, features, k, seed)) as data:
-        rows = data.count()
-        base = est.logistic(1.0, rows)
-        return sr.search(data, base, sr.logistic_grid(base, rows, costs, penalties), k, seed=seed, fold="fold")
+        return linear.search(data, costs, penalties, k)
 
 
-def tuned_svm(splits: Wide, features: Sequence[str], k: int = 5, costs=sr.SVM_C, seed: int = 42):
+def tuned_svm(splits: Wide, features: Sequence[str], k: int = 5, costs=sr.SVM_C, seed: int = 42) -> linear.LinearSearch:
+    """The linear half of the machine's grid."""
     with kept(folds(splits, features, k, seed)) as data:
-        rows = data.count()
-        base = est.linear_svm(0.1, rows)
-        return sr.search(data, base, sr.svm_grid(base, rows, costs), k, seed=seed, fold="fold")
+        return linear.search(data, costs, k=k, loss="hinge", tol=1e-4)
 
 
-def tuned_tree(splits: Wide, features: Sequence[str], k: int = 5, seed: int = 42, **ranges):
+def tuned_rbf(splits: Wide, features: Sequence[str], k: int = 5, costs=sr.SVM_C, gammas=kernel.SVM_GAMMA,
+              seed: int = 42, **options) -> kernel.KernelSearch:
+    """The kernel half of the machine's grid."""
     with kept(folds(splits, features, k, seed)) as data:
-        base = est.decision_tree(seed=seed)
-        return sr.search(data, base, sr.tree_grid(base, **ranges), k, seed=seed, fold="fold")
+        return kernel.rbf_search(data, costs, gammas, k, seed=seed, **options)
+
+
+def calibrated_svm(splits: Wide, features: Sequence[str], cost: float = 0.1, k: int = 5, seed: int = 42) -> kernel.Calibrated:
+    """The final linear machine, with probabilities."""
+    with kept(folds(splits, features, k, seed)) as data:
+        return kernel.calibrate(lambda rows: est.linear_svm(cost, rows.count()).fit(rows), data, k)
+
+
+def tuned_tree(splits: Wide, features: Sequence[str], k: int = 5, seed: int = 42, **ranges) -> nested.TreeSearch:
+    with kept(folds(splits, features, k, seed)) as data:
+        return nested.search(data, k, seed=seed, **ranges)
 
 
 def importances(spark, model, features: Sequence[str]) -> DataFrame:

@@ -5,13 +5,19 @@ Every check compares numbers that the model's run produced with numbers that SQL
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rounded
 from ..modeling import estimators as est
+from ..modeling import forest, kernel, nested
 from ..modeling import importance as imp
+from ..modeling import search as sr
 from ..modeling.explain import explain_rows
+from ..operators.cohort import class_weights
 from ..plans import models
 from ..sources.sinks import stage_root
 from .binding import source
@@ -144,3 +150,164 @@ def explained_devices(spark, d):
     data, _ = _train(spark, splits)
     local = explain_rows(est.random_forest(20, 5).fit(data), models.vectors(splits, "valid", FEATURES), "asset_id", FEATURES)
     return local.groupBy("feature").agg(F.count(F.lit(1)).alias("devices"))
+
+
+@query("grid_solutions", f"""with w as ({_WIDE_SQL}), n as (select count(*)::bigint as n from w where split = 'train')
+select cost, penalty, 6::bigint as fits, 5 * n as n_rows, true as at_solution
+from n, (values {", ".join(f"({c}::double)" for c in sr.LOGISTIC_C)}) as c(cost), (values ('l1'), ('l2')) as p(penalty)""")
+def grid_solutions(spark, d):
+    """Whether every fit of the logistic grid, on each fold's rest and on all rows, is where its objective is least.
+
+    The gradient is taken here by plain expressions. A weight that is not zero needs a slope that its penalty cancels, a
+    weight at zero one that its penalty outweighs.
+    """
+    splits = prepared(spark, d)
+    found = models.tuned_logistic(splits, FEATURES)
+    x = F.concat(F.array(F.lit(1.0)), vector_to_array("features"))
+    rows = models.folds(splits, FEATURES, 5, 42).select("label", "fold", x.alias("x"), F.explode(
+        F.sequence(F.lit(0), F.lit(len(found.settings) - 1))).alias("number"))
+    weights = found.weight_table(spark).select("number", "cost", "penalty", F.col("fold").alias("left_out"),
+                                               F.concat(F.array("intercept"), "weights").alias("w"))
+    fitted = rows.join(F.broadcast(weights), "number").where(~F.col("fold").eqNullSafe(F.col("left_out")))
+    margin = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    slopes = fitted.select("number", "cost", "penalty", "w", "x", (1 / (1 + F.exp(-margin)) - F.col("label")).alias("error")).select(
+        "number", "cost", "penalty", "error", F.posexplode(F.arrays_zip("x", "w")).alias("at", "xw"))
+    each = slopes.groupBy("number", "cost", "penalty", "at", F.col("xw.w").alias("w")).agg(
+        F.avg(F.col("error") * F.col("xw.x")).alias("slope"), F.count(F.lit(1)).alias("n"))
+    strength = F.when(F.col("at") == 0, 0.0).otherwise(1 / (F.col("cost") * F.col("n")))
+    left = (F.when((F.col("at") == 0) | (F.col("penalty") == "l2"), F.abs(F.col("slope") + strength * F.col("w")))
+            .when(F.col("w") == 0, F.abs("slope") - strength).otherwise(F.abs(F.col("slope") + strength * F.signum("w"))))
+    per_fit = each.groupBy("number", "cost", "penalty").agg(F.max(left).alias("left"), F.max("n").alias("n"))
+    return per_fit.groupBy("cost", "penalty").agg(F.count(F.lit(1)).alias("fits"), F.sum("n").alias("n_rows"),
+                                                  (F.max("left") < 1e-5).alias("at_solution"))
+
+
+_FLAG_GAINS = f"""with w as ({_WIDE_SQL}), t as (select * from w where split = 'train'),
+v as ({" union all ".join(f"select {i} as feature, {c} as x, y_flag as y from t" for i, c in enumerate(FLAGS))}),
+s as (select feature, x, count(*)::double as n, avg(y) as p from v group by 1, 2),
+h as (select feature, x, n, p, 2 * p * (1 - p) as gini,
+  -(case when p > 0 then p * log2(p) else 0 end + case when p < 1 then (1 - p) * log2(1 - p) else 0 end) as entropy from s),
+r as (select count(*)::double as n, avg(y_flag) as p from t),
+g as (select feature, sum(h.n * gini) / any_value(r.n) as gini, sum(h.n * entropy) / any_value(r.n) as entropy, count(*) as sides,
+  sum(h.n * greatest(h.p, 1 - h.p)) / any_value(r.n) as acc from h, r group by 1),
+b as (select 2 * p * (1 - p) as gini, -(p * log2(p) + (1 - p) * log2(1 - p)) as entropy from r)"""
+
+
+@query("tree_root", f"""{_FLAG_GAINS} select 'gini' as impurity, round(max(b.gini - g.gini), 9) as gain,
+  round(max_by(acc, b.gini - g.gini), 9) as accuracy from g, b where sides = 2
+union all select 'entropy', round(max(b.entropy - g.entropy), 9), round(max_by(acc, b.entropy - g.entropy), 9) from g, b where sides = 2""")
+def tree_root(spark, d):
+    """Gain of the root's split over the flags, and train accuracy of the search's trees cut below it."""
+    splits = prepared(spark, d)
+    train = models.vectors(splits, "train", FLAGS).withColumn("fold", F.lit(-1))
+    found = []
+    for impurity in sr.TREE_IMPURITIES:
+        model = est.decision_tree(impurity, 9, 1).fit(train)
+        cut = nested.CutTree(model, nested.ways_of(model, spark), 1, 1)
+        hits = cut.transform(train).agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+        roots = {way[0] for way in cut.ways.ways}
+        sides = {way[1] for way in cut.ways.ways if len(way) > 1}
+        total = sum(step.count for step in sides)
+        gain = _impurity(impurity, roots.pop().stats) - sum(step.count / total * _impurity(impurity, step.stats) for step in sides)
+        found.append((impurity, round(gain, 9), round(hits, 9)))
+    return spark.createDataFrame(found, "impurity STRING, gain DOUBLE, accuracy DOUBLE")
+
+
+def _impurity(name: str, stats) -> float:
+    shares = [v / sum(stats) for v in stats if v]
+    return 1 - sum(p * p for p in shares) if name == "gini" else -sum(p * math.log2(p) for p in shares)
+
+
+@query("tree_search_order", f"""with w as ({_WIDE_SQL}), m as (select greatest(avg(y_flag), 1 - avg(y_flag)) as share from w where split = 'train')
+select 648::bigint as settings, 0::bigint as falls_with_depth, 0::bigint as rises_with_split, 0::bigint as small_splits,
+  true as above_majority from m""")
+def tree_search_order(spark, d):
+    """What nested trees must satisfy: train accuracy never falls with depth nor rises with the minimum split, no node was split
+    with fewer rows than its children need, and no setting is worse on its own rows than one class."""
+    splits = prepared(spark, d)
+    found = models.tuned_tree(splits, FEATURES)
+    share = split_share(splits)
+    same = ["impurity", "min_leaf"]
+    table = found.table(spark)
+    falls = table.withColumn("before", F.lag("train_acc").over(W.partitionBy(*same, "min_split").orderBy("max_depth")))
+    rises = falls.withColumn("looser", F.lag("train_acc").over(W.partitionBy(*same, "max_depth").orderBy("min_split")))
+    return rises.agg(
+        F.count(F.lit(1)).alias("settings"), F.count_if(F.col("train_acc") < F.col("before") - 1e-12).alias("falls_with_depth"),
+        F.count_if(F.col("train_acc") > F.col("looser") + 1e-12).alias("rises_with_split"),
+        F.lit(found.small_splits).cast("bigint").alias("small_splits"), (F.min("train_acc") >= F.lit(share) - 0.01).alias("above_majority"))
+
+
+def split_share(splits) -> float:
+    """Share of the larger class on the training rows."""
+    share = models.split_part(splits, "train").agg(F.avg(F.col(splits.label).cast("double"))).first()[0]
+    return max(share, 1 - share)
+
+
+@query("forest_parts", f"""with w as ({_WIDE_SQL}) select trees::bigint as trees, split, count(*)::bigint as n_rows,
+  (trees * count(*))::double as votes, true as importances_sum_to_one from w, (values (10), (25), (40)) as t(trees) group by 1, 2""")
+def forest_parts(spark, d):
+    """Votes of the first parts of one forest: a tree gives one vote per row, in every size that the parts add up to."""
+    splits = prepared(spark, d)
+    with models.kept(class_weights(models.vectors(splits, "train", FEATURES), "label")) as data:
+        grown = forest.grow(data, 40, 30, 5, weight_col="weight", part=5)
+    rows = est.assemble(splits.df, FEATURES, splits.label, keep=[splits.key, "split"])
+    out = None
+    for trees in (10, 25, 40):
+        part = grown.first(trees)
+        votes = F.aggregate(vector_to_array("rawPrediction"), F.lit(0.0), lambda s, v: s + v)
+        one = part.transform(rows).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum(votes), 6).alias("votes"))
+        one = one.withColumns({"trees": F.lit(trees).cast("bigint"),
+                               "importances_sum_to_one": F.lit(bool(abs(part.featureImportances.toArray().sum() - 1) < 1e-9))})
+        out = one if out is None else out.unionByName(one)
+    return out.select("trees", "split", "n_rows", "votes", "importances_sum_to_one")
+
+
+_NEXT = f"""with {_SCALED}, t as (select * from z where split = 'train'),
+v as ({" union all ".join(f"select custkey, {i} as feature, {c}::double as x from t" for i, c in enumerate([*FLAGS, *NUMERICS]))}),
+o as (select custkey, lead(custkey) over (order by custkey) as other from t),
+q as (select o.custkey, sum((a.x - b.x) * (a.x - b.x)) as d2 from o join v a on a.custkey = o.custkey
+  join v b on b.custkey = o.other and b.feature = a.feature group by 1)"""
+
+
+@query("kernel_error", f"""{_NEXT} select gamma, count(*)::bigint as pairs, round(avg(exp(-gamma * d2)), 6) as mean_kernel, true as close
+from q, (values {", ".join(f"({g}::double)" for g in kernel.SVM_GAMMA)}) as g(gamma) group by 1""")
+def kernel_error(spark, d):
+    """RBF kernel of each row and the next one, and whether the inner products of the mapped rows come close to it.
+
+    The error of one inner product has a deviation of at most 1 / sqrt(width / 2); their root mean square may be 1.5 of it.
+    """
+    splits = prepared(spark, d)
+    train = models.vectors(splits, "train", FEATURES)
+    order = models.split_part(splits, "train").groupBy().agg(F.array_sort(F.collect_list("asset_id")).alias("ids"))
+    pairs = order.select(F.inline(F.arrays_zip(F.expr("slice(ids, 1, size(ids) - 1)").alias("a"), F.expr("slice(ids, 2, size(ids) - 1)").alias("b"))))
+
+    def sides(rows):
+        left, right = (rows.select(F.col("asset_id").alias(c), vector_to_array("features").alias(f"x_{c}")) for c in "ab")
+        return pairs.join(left, "a").join(right, "b")
+
+    product = F.aggregate(F.zip_with("x_a", "x_b", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    distance = F.aggregate(F.zip_with("x_a", "x_b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    out, width = None, 2048
+    for gamma in kernel.SVM_GAMMA:
+        mapped = kernel.FourierFeatures(gamma, len(FEATURES), width).transform(train)
+        both = sides(mapped).select("a", product.alias("got")).join(sides(train).select("a", F.exp(-gamma * distance).alias("kernel")), "a")
+        error = F.sqrt(F.avg((F.col("got") - F.col("kernel")) ** 2))
+        one = both.agg(F.lit(gamma).alias("gamma"), F.count(F.lit(1)).alias("pairs"), rounded(F.avg("kernel")).alias("mean_kernel"),
+                       (error < 1.5 / math.sqrt(width / 2)).alias("close"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("svm_probabilities", f"""with w as ({_WIDE_SQL}) select count(*)::bigint as n_rows, round(avg(y_flag), 5) as mean_probability,
+  true as rises_with_margin from w where split = 'train'""")
+def svm_probabilities(spark, d):
+    """Mean of the calibrated probabilities over held-out margins, and whether they rise with the margin."""
+    splits = prepared(spark, d)
+    with models.kept(models.folds(splits, FEATURES, 5, 42)) as data:
+        def fit(rows):
+            return est.linear_svm(0.1, rows.count()).fit(rows)
+
+        machine = kernel.calibrate(fit, data)
+        positive = 1 / (1 + F.exp(-(F.col("margin") * machine.slope + machine.offset)))
+        row = kernel.held_out_margins(fit, data).agg(F.count(F.lit(1)), F.avg(positive)).first()
+    return spark.createDataFrame([(row[0], round(row[1], 5), machine.slope > 0)], "n_rows BIGINT, mean_probability DOUBLE, rises_with_margin BOOLEAN")

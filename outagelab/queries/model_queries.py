@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import rounded
 from ..modeling import estimators as est
 from ..modeling import evaluation as ev
+from ..modeling import forest
 from ..modeling import importance as imp
 from ..modeling import search as sr
 from ..modeling.explain import explain_rows
@@ -28,8 +29,6 @@ from .operator_queries import FLAGS, NUMERICS, customer_wide
 from .registry import query
 
 FEATURES = [*FLAGS, *NUMERICS]
-# Trees of the searched forests here: a tenth of the study's, which are the default of ``models.tuned_forest``.
-TREES = tuple(n // 10 for n in sr.FOREST_TREES)
 
 
 def prepared(spark, d) -> Wide:
@@ -74,8 +73,8 @@ def train_dt(spark, d):
 @query("train_rf")
 def train_rf(spark, d):
     splits = prepared(spark, d)
-    data = class_weights(models.vectors(splits, "train", FEATURES), "label").persist()
-    return _report(est.random_forest(100, est.MAX_DEPTH, 5, weight_col="weight").fit(data), splits)
+    with models.kept(class_weights(models.vectors(splits, "train", FEATURES), "label")) as data:
+        return _report(forest.grow(data, 100, est.MAX_DEPTH, 5, weight_col="weight"), splits)
 
 
 @query("train_nb")
@@ -108,13 +107,32 @@ def baseline_kfold(spark, d):
 @query("grid_search")
 def grid_search(spark, d):
     """Every tried logistic setting with its cross-validated accuracy."""
-    return sr.search_table(spark, models.tuned_logistic(prepared(spark, d), FEATURES))
+    return models.tuned_logistic(prepared(spark, d), FEATURES).table(spark)
 
 
 @query("svm_search")
 def svm_search(spark, d):
     """Every tried SVM cost with its cross-validated accuracy."""
-    return sr.search_table(spark, models.tuned_svm(prepared(spark, d), FEATURES))
+    return models.tuned_svm(prepared(spark, d), FEATURES).table(spark)
+
+
+@query("svm_rbf_search")
+def svm_rbf_search(spark, d):
+    """Every tried gamma and cost of the kernel machine with its cross-validated accuracy."""
+    return models.tuned_rbf(prepared(spark, d), FEATURES).table(spark)
+
+
+@query("tree_search")
+def tree_search(spark, d):
+    """Every tried tree setting, all 648, with its mean accuracy on the rows it was and was not fitted on."""
+    return models.tuned_tree(prepared(spark, d), FEATURES).table(spark)
+
+
+@query("svm_report")
+def svm_report(spark, d):
+    """The final machine, ranked by its calibrated probability, on each split."""
+    splits = prepared(spark, d)
+    return _report(models.calibrated_svm(splits, FEATURES), splits)
 
 
 @query("model_report")
@@ -137,7 +155,7 @@ def model_roc(spark, d):
 def random_search(spark, d):
     """Randomized forest search with balanced weights, reported on each split."""
     splits = prepared(spark, d)
-    return _report(models.tuned_forest(splits, FEATURES, trees=TREES).bestModel, splits)
+    return _report(models.tuned_forest(splits, FEATURES).bestModel, splits)
 
 
 def _importance(spark, d, make):
@@ -199,23 +217,12 @@ def explain_batch(spark, d):
 
 @query("study_model")
 def study_model(spark, d):
-    """The study end to end: cohorts, wide table, sample, splits, selection, forest, report."""
-    from .study_queries import STUDY, _sampled
-    from ..plans.prepare import normalised_splits
-
-    splits = normalised_splits(_sampled(spark, d), STUDY)
-    splits = Wide(stage(splits.df, "splits"), splits.flags, splits.numerics)
-    features = models.selected_features(splits, profiled=models.drop_list(splits))
-    return models.evaluate(models.tuned_forest(splits, features, trees=TREES).bestModel, splits, features)
+    """The study end to end: cohorts, wide table, sample, splits, selection, searched forest, report."""
+    splits, features = _study_features(spark, d)
+    return models.evaluate(models.tuned_forest(splits, features).bestModel, splits, features)
 
 
 @query("study_drop_list")
 def study_drop_list(spark, d):
     """Features of the study that are left after leaks, profiled drop list and variance."""
-    from .study_queries import STUDY, _sampled
-    from ..plans.prepare import normalised_splits
-
-    splits = normalised_splits(_sampled(spark, d), STUDY)
-    splits = Wide(stage(splits.df, "splits"), splits.flags, splits.numerics)
-    features = models.selected_features(splits, profiled=models.drop_list(splits))
-    return spark.createDataFrame([(f,) for f in features], "feature STRING")
+    return spark.createDataFrame([(f,) for f in _study_features(spark, d)[1]], "feature STRING")

@@ -38,13 +38,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return write_stage(df, stage_root(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
 
 
+def drop_path(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def discard(*stages: DataFrame) -> None:
     """Delete the files of stages that nothing reads any more."""
     for df in stages:
-        spark = df.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            drop_path(df.sparkSession, folder)
 
 
 def stage_all(**frames: DataFrame) -> dict[str, DataFrame]:
