@@ -243,8 +243,8 @@ def split_share(splits) -> float:
     return max(share, 1 - share)
 
 
-@query("forest_parts", f"""with w as ({_WIDE_SQL}) select trees::bigint as trees, split, count(*)::bigint as n_rows,
-  (trees * count(*))::double as votes, true as importances_sum_to_one from w, (values (10), (25), (40)) as t(trees) group by 1, 2""")
+@query("forest_parts", f"""with w as ({_WIDE_SQL}) select t.n::bigint as trees, split, count(*)::bigint as n_rows,
+  (t.n * count(*))::double as votes, true as importances_sum_to_one from w, (values (10), (25), (40)) as t(n) group by t.n, split""")
 def forest_parts(spark, d):
     """Votes of the first parts of one forest: a tree gives one vote per row, in every size that the parts add up to."""
     splits = prepared(spark, d)
@@ -299,9 +299,10 @@ def kernel_error(spark, d):
 
 
 @query("svm_probabilities", f"""with w as ({_WIDE_SQL}) select count(*)::bigint as n_rows, round(avg(y_flag), 5) as mean_probability,
-  true as rises_with_margin from w where split = 'train'""")
+  true as slope_fits from w where split = 'train'""")
 def svm_probabilities(spark, d):
-    """Mean of the calibrated probabilities over held-out margins, and whether they rise with the margin."""
+    """The two conditions of a fitted sigmoid over held-out margins: its probabilities average the class share, and its errors
+    do not lean along the margin. (Margins that say nothing about the class may give it a slope of either sign.)"""
     splits = prepared(spark, d)
     with models.kept(models.folds(splits, FEATURES, 5, 42)) as data:
         def fit(rows):
@@ -309,5 +310,6 @@ def svm_probabilities(spark, d):
 
         machine = kernel.calibrate(fit, data)
         positive = 1 / (1 + F.exp(-(F.col("margin") * machine.slope + machine.offset)))
-        row = kernel.held_out_margins(fit, data).agg(F.count(F.lit(1)), F.avg(positive)).first()
-    return spark.createDataFrame([(row[0], round(row[1], 5), machine.slope > 0)], "n_rows BIGINT, mean_probability DOUBLE, rises_with_margin BOOLEAN")
+        lean = F.avg((positive - F.col("label")) * F.col("margin")) / F.sqrt(F.avg(F.col("margin") * F.col("margin")))
+        row = kernel.held_out_margins(fit, data).agg(F.count(F.lit(1)), F.avg(positive), lean).first()
+    return spark.createDataFrame([(row[0], round(row[1], 5), abs(row[2]) < 1e-5)], "n_rows BIGINT, mean_probability DOUBLE, slope_fits BOOLEAN")
