@@ -41,7 +41,7 @@ from ..sources.sinks import stage
 from .common import SPACES, words
 from .ordered import ROW, in_order, positions, running
 
-LIGHT = 12              # bits of the number of members in a class: a factor of 4,096
+LIGHT = 8               # bits of the number of members in a class: a factor of 256
 QUEUE = 200_000         # messages of a queue in memory
 FAN = 32                # sorted runs that a queue reads side by side
 PIECE_BITS = 8          # ids in a piece of a list of members, as a power of two

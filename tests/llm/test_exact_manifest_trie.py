@@ -220,7 +220,7 @@ def chat_rows():
     return data
 
 
-@pytest.mark.parametrize("light,limit", [(12, 1000), (2, 1)])
+@pytest.mark.parametrize("light,limit", [(trie.LIGHT, 1000), (2, 1)])
 def test_prefix_trie(spark, light, limit):
     data = chat_rows()
     # equal turn numbers follow their hashes, which the plain version does not know
