@@ -18,6 +18,8 @@ NOT_ALPHANUMERIC_CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPACES = r"[\x20\x09-\x0D]+"
 NOT_SPACES = r"[^\x20\x09-\x0D]+"
 
+HOT = 4096  # keys with more than this part of all rows are joined apart
+
 # Columns that operators add beside the user's; the prefix keeps them apart from any real name.
 KEY, TEXT = "__key", "__text"
 
@@ -48,6 +50,18 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(document_key(id_col, text_col).alias(KEY), F.col(text_col).alias(TEXT))
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join of stored ``rows`` with a table of one row per key, whose ``n`` says how many of ``rows`` have the key at least.
+
+    Rows of hot keys stay where they are and meet a broadcast of their keys; the rest is joined by key, so no task gets more
+    than a small share of the rows for one key. A key is hot beyond a ``HOT``-th of all rows that ``counted`` counts, hence
+    at most ``HOT`` keys are broadcast, whatever the size of the input. ``how`` is inner or left; null keys match nothing.
+    """
+    hot = counted.where(F.col("n") > F.lit(counted.agg(F.sum("n")).first()[0] or 0) / HOT).drop("n")
+    cold = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(counted.drop("n"), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished jobs now, after a stage has been written.
 

@@ -2,12 +2,16 @@
 
 A window whose word sequence also starts in a document of smaller id is repeated; overlapping repeated windows merge into
 maximal removal intervals. Window hashes roll (prefix sums of word hashes times powers of an odd base, modulo 2**64, twice
-independently: 128 bits decide).
+independently, from one 64-bit hash of each word).
 
 Scale: hashes of all windows of all documents would be many times the corpus. So each window first names an anchor, the
 least hash of the shingles of half its length; equal windows have equal anchors, so a window can only be repeated if its
-anchor occurs in two documents. Anchors (one for about thirteen words) are counted in Spark with partial aggregates, and only
-windows with a shared anchor are hashed in full, counted and joined back. No group of equal windows is ever gathered.
+anchor occurs in two documents. Of equal word sequences only the row of least id is looked at; the others repeat it whole.
+Anchors (one for about thirteen words) are counted in Spark with partial aggregates. Neighbouring windows with one shared anchor
+make a stretch, which is hashed as a whole: a stretch that a smaller id holds too is repeated in all its windows. Only where
+an anchor has several different stretches, the windows of the first holder of each are hashed, counted and joined back.
+No group of equal windows is ever gathered: keys with many rows are joined by broadcast, of which there can only be few
+(``join_counted``).
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import discard, stage
-from .common import KEY, TEXT, document_key, keyed, release_shuffles
+from .common import KEY, TEXT, document_key, join_counted, keyed, release_shuffles
 
 WINDOW = 50
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)   # odd, so that they have inverses modulo 2**64
@@ -57,12 +61,17 @@ class Roller:
         self.up = self.down = np.ones(0, np.uint64)
 
     def __call__(self, values: np.ndarray, length: int) -> np.ndarray:
+        first = np.arange(max(len(values) + 1 - length, 0))
+        return self.ranges(values, first, first + length)
+
+    def ranges(self, values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the values from ``first`` up to ``end``, wherever they lie."""
         n = len(values)
         if n > len(self.up):
             self.up, self.down = _powers(self.base, 2 * n), _powers(self.inverse, 2 * n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values * self.up[:n], out=sums[1:])
-        return mixed((sums[length:] - sums[:n + 1 - length]) * self.down[:n + 1 - length])
+        return mixed((sums[end] - sums[first]) * self.down[first])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -116,39 +125,69 @@ def _summary(source: DataFrame, window: int) -> DataFrame:
     return source.mapInArrow(run, f"{KEY} {kind}, n_words long, digest string, anchors array<long>")
 
 
-def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """Both hashes and the start of every window whose anchor is among the row's shared ones."""
+def _hashed(texts: DataFrame, column: str, pick) -> DataFrame:
+    """One row for each range of words that ``pick`` finds in a text: id, row, both hashes, first window and windows.
+
+    ``pick`` gets the word hashes, the value of ``column`` and a roller, and returns first windows, numbers of windows, words
+    per range and anchors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, rollers = WordHashes(), [Roller(b) for b in BASES]
         for batch in batches:
             rows, parts = [], []
             for k in range(batch.num_rows):
-                h = word_hashes(_split(batch.column(1)[k].as_py()), cache)
-                shared = np.asarray(batch.column(2)[k].values).view(np.uint64)
-                at = np.flatnonzero(np.isin(anchors(h, window, rollers[0]), shared))
+                h = word_hashes(_split(batch.column(2)[k].as_py()), cache)
+                at, n, length, anchor = pick(h, batch.column(3)[k].values, rollers[0])
                 if len(at):
                     rows.append(np.full(len(at), k))
-                    parts.append((rollers[0](h, window)[at].view(np.int64), rollers[1](mixed(h), window)[at].view(np.int64),
-                                  at.astype(np.int32)))
+                    parts.append((rollers[0].ranges(h, at, at + length).view(np.int64),
+                                  rollers[1].ranges(mixed(h), at, at + length).view(np.int64),
+                                  at.astype(np.int32), n.astype(np.int32), anchor.view(np.int64)))
             if rows:
-                a, b, at = (np.concatenate(x) for x in zip(*parts))
-                keys = batch.column(0).take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(a), pa.array(b), pa.array(at)], names=[KEY, "h1", "h2", "start"])
+                who = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(who), batch.column(1).take(who)] + [pa.array(np.concatenate(x)) for x in zip(*parts)],
+                    names=["id", "row", "h1", "h2", "start", "windows", "anchor"])
+
+    source = texts.select(F.col(KEY)["id"].alias("id"), "row", TEXT, column)
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, row long, h1 long, h2 long, start int, "
+                                  "windows int, anchor long")
+
+
+def _stretches(texts: DataFrame, window: int) -> DataFrame:
+    """Runs of neighbouring windows with the same anchor, if it is among the row's ``shared`` ones."""
 
-    kind = texts.schema[KEY].dataType.simpleString()
-    return texts.mapInArrow(run, f"{KEY} {kind}, h1 long, h2 long, start int")
+    def pick(h, shared, roller):
+        anchor = anchors(h, window, roller)
+        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        n = np.diff(np.append(first, len(anchor)))
+        keep = np.isin(anchor[first], np.asarray(shared).view(np.uint64))
+        first, n = first[keep], n[keep]
+        return first, n, n + window - 1, anchor[first]
 
+    return _hashed(texts, "shared", pick)
 
-def _merge(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal intervals covered by windows at the given starts."""
-    starts = np.unique(starts)
+
+def _windows(texts: DataFrame, window: int) -> DataFrame:
+    """The windows of the row's ``parts``, which are stretches."""
+
+    def pick(h, parts, roller):
+        first, n = (np.asarray(parts.field(x), np.int64) for x in ("start", "windows"))
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return at, np.ones_like(at), window, np.zeros_like(at)
+
+    return _hashed(texts, "parts", pick).drop("windows", "anchor")
+
+
+def _merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal intervals covered by the given ones."""
     if not len(starts):
-        return starts, starts
-    new = np.concatenate([[True], starts[1:] > starts[:-1] + window])
-    first = starts[new]
-    last = np.concatenate([starts[np.flatnonzero(new)[1:] - 1], starts[-1:]])
-    return first, last + window
+        return starts, ends
+    order = np.argsort(starts)
+    starts, upto = starts[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.concatenate([[True], starts[1:] > upto[:-1]]))
+    return starts[new], upto[np.append(new[1:], len(starts)) - 1]
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -160,26 +199,46 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     source = keyed(docs, id_col, text_col)
     summary = stage(_summary(source, window), "substring-anchors")
-    marks = summary.where(F.col(KEY)["id"].isNotNull()).select(F.col(KEY)["id"].alias("id"), F.explode("anchors").alias("anchor"))
-    shared = marks.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
-    wanted = marks.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("shared"))
-    texts = stage(source.withColumn("id", F.col(KEY)["id"]).join(wanted, "id").select(KEY, TEXT, "shared"), "substring-texts")
+    named = summary.where(F.col(KEY)["id"].isNotNull() & (F.col("n_words") >= window)).withColumn("id", F.col(KEY)["id"])
+    heads = stage(named.groupBy("digest").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")), "substring-heads")
+    # Both keys decide the task, so the copies of one text do not meet.
+    firsts = named.join(heads.select("digest", F.col("head").alias("id")), ["digest", "id"])
+    marks = stage(firsts.select(KEY, "id", F.explode("anchors").alias("anchor")), "substring-marks")
+    shared = stage(marks.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n"))
+                   .where("a < b").select("anchor", "n"), "substring-shared")
+    wanted = join_counted(marks, shared, ["anchor"]).groupBy(KEY).agg(F.collect_set("anchor").alias("shared"))
+    texts = stage(source.join(wanted, KEY).withColumn("row", F.monotonically_increasing_id()), "substring-texts")
+    discard(marks, shared)
+    release_shuffles(docs.sparkSession)
+    same = ["h1", "h2", "windows"]
+    stretches = stage(_stretches(texts, window), "substring-stretches")
+    # A class is one sequence of words; its first holder stands for it, all others lose it whole.
+    classes = stage(stretches.groupBy(*same, "anchor").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")), "substring-classes")
+    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    mixed_up = join_counted(classes.drop("n"), several, ["anchor"]).select(*same, F.lit(True).alias("several"))
+    judged = join_counted(stretches.drop("anchor"), classes.drop("anchor"), same)
+    again = stage(judged.where("id > a").select("row", "start", "windows"), "substring-again")
+    held = stage(judged.where("id = a").drop("a", "id").join(mixed_up, same, "left_semi"), "substring-held")
+    discard(stretches, classes)
     release_shuffles(docs.sparkSession)
-    windows = stage(_windows(texts, window), "substring-windows")
-    first = windows.groupBy("h1", "h2").agg(
-        F.min(F.col(KEY)["id"]).alias("a"), F.max(F.col(KEY)["id"]).alias("b")).where("a < b").select("h1", "h2", "a")
-    removed = stage(windows.join(first, ["h1", "h2"]).where(F.col(KEY)["id"] > F.col("a")).groupBy(KEY).agg(
-        F.collect_set("start").alias("starts")), "substring-starts")
-    discard(windows)
+    parts = held.groupBy("row").agg(F.collect_list(F.struct("start", "windows")).alias("parts"))
+    windows = stage(_windows(texts.join(parts, "row"), window), "substring-windows")
+    first = stage(windows.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n"))
+                  .where("a < b").select("h1", "h2", "a", "n"), "substring-first")
+    single = join_counted(windows, first, ["h1", "h2"]).where("id > a").select("row", "start", F.lit(1).alias("windows"))
+    removed = stage(again.unionByName(single).groupBy("row").agg(
+        F.collect_list(F.struct("start", "windows")).alias("parts")), "substring-parts")
+    discard(again, held, windows, first)
     release_shuffles(docs.sparkSession)
-    cut = texts.drop("shared").join(removed, KEY)
+    cut = texts.select(KEY, TEXT, "row").join(removed, "row").select(KEY, TEXT, "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, counts, digests = [], [], []
-            for text, starts in zip(batch.column(1), batch.column(2)):
+            for text, parts in zip(batch.column(1), batch.column(2)):
                 ws = _split(text.as_py())
-                a, b = _merge(np.asarray(starts.values), window)
+                first, n = (np.asarray(parts.values.field(x)) for x in ("start", "windows"))
+                a, b = _merge(first, first + n + window - 1)
                 kept = np.ones(len(ws), bool)
                 for x, y in zip(a, b):
                     kept[x:y] = False
@@ -195,9 +254,16 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  .dropDuplicates([KEY]), "substring-cuts")
     discard(texts, removed)
     release_shuffles(docs.sparkSession)
-    return summary.drop("anchors").join(cuts, KEY, "left").select(
-        KEY, "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("spans"),
-        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept", "digest").alias("kept_sha256"))
+    # Whoever repeats a whole word sequence of a smaller id loses all of it; the others lose what was cut above.
+    everything = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
+    result = summary.drop("anchors").join(cuts, KEY, "left")
+    judged = join_counted(result, heads, ["digest"], "left").withColumn("again", F.coalesce(F.col(KEY)["id"] > F.col("head"), F.lit(False)))
+    return judged.select(
+        KEY, "n_words",
+        F.when(F.col("again"), everything).otherwise(
+            F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)"))).alias("spans"),
+        F.when(F.col("again"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(F.col("again"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "digest")).alias("kept_sha256"))
 
 
 def digest(repeats: DataFrame, id_col: str = "doc_id") -> DataFrame:
