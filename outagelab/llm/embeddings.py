@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import stage
+from .common import join_counted
 from .components import connected_components, forest
 from .tiles import per_group, shuffle_partitions, tiled
 
@@ -72,8 +73,8 @@ def _signed(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), vectors, lists],
                                                  names=["id", "copies", "vector", "signs"])
 
-    kind, element = classes.schema["id"].dataType.simpleString(), classes.schema["vector"].dataType.simpleString()
-    found = classes.mapInArrow(run, f"id {kind}, copies long, vector {element}, signs array<int>")
+    element = classes.schema["vector"].dataType.simpleString()
+    found = classes.mapInArrow(run, f"id long, copies long, vector {element}, signs array<int>")
     return found.select("id", "copies", "vector", "signs", F.posexplode("signs").alias("table", "sign")).withColumn(
         "width", F.size("vector"))
 
@@ -129,26 +130,29 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     ``n_links`` counts the other rows linked directly, equal vectors included; vectors that are null, empty, zero or hold
     null or non-finite numbers have none and are their own component; vectors of different length never meet. Rows with a
-    null id are left out of the comparison (they could not be named) and come back without links.
+    null id are left out of the comparison (they could not be named) and come back without links. Rows that share an id are
+    vectors of their own: each has its own links and component.
     """
     rows = vectors.select(F.col(id_col).alias("vec"), F.col(vector_col).alias("vector"))
     good = rows.where(F.col("vec").isNotNull() & usable(F.col("vector")))
     members = stage(good.withColumn("twin", F.xxhash64("vector")), "vectors")
-    classes = stage(members.groupBy("twin", "vector").agg(F.min("vec").alias("id"), F.count(F.lit(1)).alias("copies"))
-                    .select("id", "copies", "vector"), "vector-classes")
+    # Classes go by numbers of their own, as rows may share a name.
+    classes = stage(members.groupBy("twin", "vector").agg(F.min("vec").alias("name"), F.count(F.lit(1)).alias("copies"))
+                    .select(F.monotonically_increasing_id().alias("id"), "copies", "vector", "name"), "vector-classes")
     bits, tables = plan_tables(classes.count(), threshold, recall)
-    signed = _signed(classes, bits, tables, seed)
+    signed = _signed(classes.drop("name"), bits, tables, seed)
     bucket = ["table", "sign", "width"]
     # A vector alone in its bucket has nobody to be compared with; blocks of large buckets are dealt by id.
     tiles = tiled(signed, bucket, "id", block)
-    kind = classes.schema["id"].dataType.simpleString()
-    found = stage(per_group(tiles, [*bucket, "tile_a", "tile_b"], _compare(threshold),
-                            f"id {kind}, links long, to {kind}", shuffle_partitions(vectors)), "vector-links")
-    roots = connected_components(found, "id", "to")
+    found = stage(per_group(tiles, [*bucket, "tile_a", "tile_b"], _compare(threshold), "id long, links long, to long",
+                            shuffle_partitions(vectors)), "vector-links")
+    roots = connected_components(found, "id", "to").withColumnRenamed("node", "id")
+    least = roots.join(classes.select("id", "name"), "id").groupBy("root").agg(
+        F.min("name").alias("least"), F.count(F.lit(1)).alias("n"))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = classes.join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").select(
+    named = classes.join(counts, "id", "left").join(join_counted(roots, least, ["root"]).drop("root"), "id", "left").select(
         "vector", F.xxhash64("vector").alias("twin"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("root", "id").alias("component_id"))
+        F.coalesce("least", "name").alias("component_id"))
     linked = members.join(named, ["twin", "vector"]).select("vec", "n_links", "component_id")
     alone = rows.where(~(F.col("vec").isNotNull() & usable(F.col("vector")))).select(
         "vec", F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component_id"))

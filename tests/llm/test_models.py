@@ -53,6 +53,13 @@ def test_embedding_links(spark, monkeypatch):
     assert embeddings.link_vectors(frame.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_have_links_of_their_own(spark):
+    data = [(5, [1.0, 0.0]), (5, [1.0, 0.01]), (6, [0.0, 1.0]), (7, [1.0, 0.02]), (6, [0.01, -1.0]), (4, [0.02, -1.0])]
+    got = embeddings.link_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"), recall=0.9999)
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (4, 1, 4, True), (5, 2, 5, True), (5, 2, 5, True), (6, 0, 6, True), (6, 1, 4, False), (7, 2, 5, False)]
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(1)
     d = len(quality.STATISTICS)
