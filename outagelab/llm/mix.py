@@ -1,14 +1,14 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-The words of a source are laid out as one sequence and cut into blocks of equal size. A source's target becomes a quota of
-block tickets (a second round of tickets repeats blocks). The tree halves the set of output shards again and again: at
-each node the quotas of all sources are divided by a draw without replacement (a multivariate hypergeometric draw), down
-to exact quotas per shard. A seeded permutation of the blocks of a source then deals its tickets, so shards draw disjoint
-blocks, and a hash orders a shard's blocks locally.
+The documents of a source are laid out in a seeded random order as one sequence of words. A source's target is its quota of
+words, taken from the front of that sequence (a second round starts at the front again), so documents stay whole but for the
+one in which the quota ends. A quota is cut into tickets, blocks of ``BLOCK`` words, by one rule at every size. The tree
+halves the set of output shards again and again: at each node the tickets of all sources are divided by a draw without
+replacement (a multivariate hypergeometric draw), down to exact numbers per shard. A shard gets a run of tickets of each
+source's random order, hence disjoint blocks, and the documents that begin in them; a hash orders them locally.
 
 Scale: targets and the tree work on one row per source. Where a document lies in its source is a prefix sum in two steps
-over hash buckets, so a source with most of the rows is spread; the permutation is arithmetic, so blocks are never sorted
-or shuffled to be drawn.
+over hash buckets, so a source with most of the rows is spread.
 """
 
 from __future__ import annotations
@@ -23,11 +23,9 @@ from .common import KEY, SPACES, TEXT, document_key, words
 WEIGHTS = (3, 1, 2)   # by rank of the source, repeating
 SHARE = 1.5           # of all words
 MOST = 2.0            # times a source's words
-BLOCK = 2048          # words
-LEAST_BLOCKS = 256    # blocks of a source at least (but not more than about its words)
+BLOCK = 256           # words of a ticket
 BUCKETS = 1024
 SHARDS = 16
-ROUNDS = 6
 SEED = 11
 SPREAD = 8            # standard deviations of a draw that are looked at
 
@@ -51,17 +49,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     everything = W.partitionBy()
     level = (share * F.sum("size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     return full.withColumn("level", level).withColumn(
-        "target", F.least("cap", F.max("level").over(everything) * F.col("weight"))).drop("cap", "level")
+        "target", F.least("cap", F.max("level").over(everything) * F.col("weight"))).drop("level")
 
 
-def _laid_out(sizes: DataFrame, most: float, block: int, least_blocks: int) -> DataFrame:
-    """Blocks of each source: ``side`` squared of them, of ``base`` words and the first ``longer`` one word more."""
-    wanted = F.least(F.col("size"), F.greatest(F.floor(F.col("size") / block), F.lit(least_blocks).cast("long")))
-    side = F.greatest(F.ceil(F.sqrt(wanted.cast("double"))).cast("long"), F.lit(1).cast("long"))
-    out = sizes.withColumn("side", side).withColumn("blocks", F.col("side") * F.col("side"))
-    out = out.withColumn("base", F.expr("size div blocks")).withColumn("longer", F.col("size") % F.col("blocks"))
-    quota = F.when(F.col("size") > 0, F.round(F.col("target") * F.col("blocks") / F.col("size")).cast("long")).otherwise(F.lit(0))
-    return out.withColumn("quota", F.least(quota.cast("long"), F.floor(most * F.col("blocks"))))
+def _tickets(targets: DataFrame, block: int) -> DataFrame:
+    """The quota of each source, in whole words, and its number of tickets."""
+    quota = F.least(F.round("target").cast("long"), F.floor("cap"))
+    return targets.withColumn("quota", quota).withColumn("blocks", F.ceil(F.col("quota") / block).cast("long"))
 
 
 def _draw(population: str, marked: str, draws: str, uniform: str) -> str:
@@ -131,83 +125,68 @@ def _tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 
 def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK,
-         least_blocks: int = LEAST_BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """One row per source: size, target, block layout, quota and ``bounds``, the last ticket of each shard plus one."""
+         shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """One row per source: size, target, quota, tickets and ``bounds``, the last ticket of each shard plus one."""
     sizes = sized.groupBy(F.col("src.source").alias("source")).agg(F.sum("size").alias("size"))
-    laid = stage(_laid_out(source_targets(sizes, weights, share, most), most, block, least_blocks), "mix-targets")
-    quotas = laid.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "quota"))), lambda x: x["quota"]).alias("counts"))
+    laid = stage(_tickets(source_targets(sizes, weights, share, most), block), "mix-targets")
+    quotas = laid.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "blocks"))), lambda x: x["blocks"]).alias("counts"))
     dealt = _tree(quotas, shards, seed).select("shard", F.posexplode("counts").alias("at", "tickets"))
     upto = F.sum("tickets").over(W.partitionBy("at").orderBy("shard"))
     bounds = dealt.withColumn("upto", upto).groupBy((F.col("at") + 1).alias("rank")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("shard", "upto"))), lambda x: x["upto"]).alias("bounds"))
     out = laid.join(bounds, "rank", "left").select(
-        F.struct("source").alias("src"), F.col("size").alias("source_size"), "target", "side", "blocks", "base", "longer", "quota",
-        "bounds")
+        F.struct("source").alias("src"), F.col("size").alias("source_size"), "target", "quota", "blocks", "bounds")
     return stage(out, "mix-plan")
 
 
-def _permutation_sql(block: str, seed: int) -> str:
-    """Place of a block in a seeded permutation of the side x side blocks of its source (a Feistel network)."""
-    state = f"named_struct('a', {block} div side, 'b', {block} % side)"
-    return (f"aggregate(sequence(1, {ROUNDS}), {state}, (s, r) -> named_struct('a', s.b, 'b', "
-            f"(s.a + pmod(xxhash64({seed}, r, src, s.b), side)) % side), s -> s.a * side + s.b)")
-
-
 def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK,
          shards: int = SHARDS, seed: int = SEED, **options) -> DataFrame:
     """What the mix takes of each document row: its size, its source's size and target, and ``pieces``.
 
-    A piece is (``start``, ``end``, ``rank``, ``copies``): words of the document, counted from 0, that lie in one block, the
-    block's place in its source's permutation, and how often the mix takes it. Null and empty texts have no words and no
+    A piece is (``start``, ``end``, ``copies``, ``round``, ``shard``): words of the document, counted from 0, that the mix takes
+    in a round, and the shard that the tree deals the piece's first word to. Null and empty texts have no words and no
     pieces; a null source is a source of its own, last in rank; repeated rows are laid out one after the other. The same
     rows give the same mix, however they are partitioned.
     """
     sized = stage(docs.select(document_key(id_col, text_col).alias(KEY), F.struct(F.col(source_col).alias("source")).alias("src"),
                               word_count(F.col(text_col)).alias("size")), "mix-sizes")
     planned = plan(sized, block=block, shards=shards, seed=seed, **options)
-    rows = sized.withColumn("bucket", F.pmod(F.xxhash64(KEY), F.lit(BUCKETS)))
+    rows = sized.withColumn("place", F.xxhash64(F.lit(seed), KEY)).withColumn("bucket", F.pmod("place", F.lit(BUCKETS)))
     buckets = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
     first = buckets.withColumn("first", F.sum("words").over(
         W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("words")).drop("words")
-    inside = W.partitionBy("src", "bucket").orderBy(KEY).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("src", "bucket").orderBy("place", KEY).rowsBetween(W.unboundedPreceding, 0)
     placed = rows.join(first, ["src", "bucket"]).withColumn(
         "offset", F.col("first") + F.sum("size").over(inside) - F.col("size")).drop("first", "bucket")
     known = placed.join(planned, "src")
-    block_of = lambda w: (f"if({w} < longer * (base + 1), ({w}) div (base + 1), "
-                          f"longer + (({w}) - longer * (base + 1)) div greatest(base, 1))")
-    block_at = lambda b: f"({b} * base + least({b}, longer))"
-    pieces = F.expr(f"""
-        if(size = 0, array(), transform(sequence({block_of('offset')}, {block_of('offset + size - 1')}), b -> named_struct(
-            'start', greatest({block_at('b')}, offset) - offset, 'end', least({block_at('(b + 1)')}, offset + size) - offset,
-            'rank', {_permutation_sql('b', seed)})))""")
-    copies = F.expr("""transform(cut, p -> named_struct('start', p.start, 'end', p.`end`, 'rank', p.rank,
-        'copies', cast(quota div blocks as int) + if(p.rank < quota % blocks, 1, 0)))""")
-    return known.withColumn("cut", pieces).withColumn("pieces", copies).select(
+    rounds = F.expr(f"""
+        transform(if(size = 0 or quota = 0, array(), sequence(0L, (quota - 1) div source_size)), r -> named_struct(
+            'start', 0L, 'end', greatest(0L, least(size, quota - r * source_size - offset)), 'copies', 1, 'round', r,
+            'shard', size(filter(bounds, x -> x <= (r * source_size + offset) div {block}))))""")
+    return known.withColumn("pieces", F.filter(rounds, lambda p: p["end"] > 0)).select(
         KEY, "src", "size", "source_size", "target", "pieces", "blocks", "bounds")
 
 
 def taken(drawn: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digest of :func:`draw`: words taken of each document row, repeats counted."""
+    """Digest of :func:`draw`: words taken of each document row, repeats counted, and ``shard_words``, the same by shard
+    as ``shard:words`` joined by commas, in order of the rounds."""
     words_taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + (p["end"] - p["start"]) * p["copies"])
-    return drawn.select(F.col(KEY)["id"].alias(id_col), "size", "source_size", "target", words_taken.alias("taken"))
+    return drawn.select(F.col(KEY)["id"].alias(id_col), "size", "source_size", "target", words_taken.alias("taken"),
+        F.array_join(F.transform("pieces", lambda p: F.concat_ws(":", p["shard"], p["end"] - p["start"])), ",").alias("shard_words"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         chars_col: str | None = None, seed: int = SEED, **options) -> DataFrame:
     """The mixed corpus: a row per drawn piece with the document's columns, ``mix_shard`` and ``mix_order``.
 
-    A piece that is a whole document keeps its text as it is; a document that is cut by a block's edge keeps the white
-    space between its words, and ``chars_col``, if given, holds the length of each piece. Sort a shard by ``mix_order`` to
-    read it shuffled. A document that occurs on several rows gives the pieces of all of them. Texts without words are never
-    drawn.
+    A piece that is a whole document keeps its text as it is; the document in which a quota ends keeps the white space between
+    its words, and ``chars_col``, if given, holds the length of each piece. :func:`in_order` lays the shards out. A document
+    that occurs on several rows gives the pieces of all of them. Texts without words are never drawn.
     """
     drawn = draw(docs, id_col, text_col, source_col, seed=seed, **options)
-    tickets = F.expr("""flatten(transform(filter(pieces, p -> p.copies > 0), p -> transform(sequence(0, p.copies - 1),
-        c -> named_struct('start', p.start, 'end', p.`end`, 'ticket', p.rank + c * blocks))))""")
-    rows = drawn.select(KEY, "size", "src", "bounds", F.explode(tickets).alias("t")).select(
-        KEY, "size", "t.start", "t.end",
-        F.expr("cast(size(filter(bounds, x -> x <= t.ticket)) as int)").alias("mix_shard"),
-        F.expr(f"xxhash64({seed}, src, t.ticket)").alias("mix_order"))
+    rows = drawn.select(KEY, "size", F.explode("pieces").alias("p")).select(
+        KEY, "size", "p.start", "p.end", F.col("p.shard").alias("mix_shard"),
+        F.xxhash64(F.lit(seed + 1), KEY, "p.round").alias("mix_order"))
     per_doc = rows.groupBy(KEY).agg(F.collect_list(F.struct("size", "start", "end", "mix_shard", "mix_order")).alias("__pieces"))
     whole = docs.withColumn(KEY, document_key(id_col, text_col)).dropDuplicates([KEY]).join(per_doc, KEY)
     parts = whole.withColumn(TEXT, F.when(
@@ -219,3 +198,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = out.withColumn("__piece", piece)
     drawn_as = {text_col: F.col("__piece"), chars_col: F.length("__piece").cast("long")}
     return out.select(*[drawn_as.get(c, F.col(c)).alias(c) for c in docs.columns], F.col("__p.mix_shard").alias("mix_shard"), F.col("__p.mix_order").alias("mix_order"))
+
+
+def in_order(mixed: DataFrame, parts: int = 64) -> DataFrame:
+    """The rows of :func:`mix` laid out for writing: ``parts`` partitions' worth of each shard, in the shard's local order."""
+    return mixed.repartition("mix_shard", F.pmod("mix_order", F.lit(parts))).sortWithinPartitions("mix_shard", "mix_order")

@@ -1,6 +1,7 @@
 """Operators on documents against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -128,6 +129,34 @@ def test_mixed_rows_and_shards(spark):
     assert set(per_shard) <= set(range(16)) and len(per_shard) == 16
 
 
+def test_tree_decides_the_words_of_shards(spark):
+    """Whole documents but one per source, in the shard whose tickets hold their first word; few words decide nothing else."""
+    data = [(k, sentence(random.Random(k), 60), f"s{k % 3}") for k in range(400)]
+    drawn = mix.draw(documents(spark, data), block=100).collect()
+    tickets, words = defaultdict(Counter), defaultdict(Counter)
+    for r in drawn:
+        upto = [0, *r.bounds]
+        tickets[r.src.source] = Counter({k: b - a for k, (a, b) in enumerate(zip(upto, upto[1:]))})
+        assert upto[-1] == r.blocks == -(-round(r.target) // 100)
+        for p in r.pieces:
+            words[r.src.source][p.shard] += p.end - p.start
+    for s in tickets:
+        assert all(abs(words[s][k] - 100 * tickets[s][k]) <= 200 for k in range(16)), s
+        cut = [p for r in drawn if r.src.source == s for p in r.pieces if p.end - p.start < r["size"]]
+        assert len(cut) <= 1
+    totals = sum(tickets.values(), Counter())
+    assert max(totals.values()) - min(totals.values()) <= 4
+    other = mix.draw(documents(spark, data), block=100, seed=5).collect()
+    assert {tuple(r.bounds) for r in other} != {tuple(r.bounds) for r in drawn}
+
+
+def test_shards_in_order(spark):
+    mixed = mix.in_order(mix.mix(documents(spark, [r for r in rows(n=60)])), parts=2)
+    for part in mixed.rdd.glom().collect():
+        order = [(r.mix_shard, r.mix_order) for r in part]
+        assert order == sorted(order)
+
+
 def test_tree_keeps_quotas(spark):
     quotas = spark.sql("select array(5000L, 0L, 17L, 1L, 320L) as counts")
     got = {r.shard: r.counts for r in mix._tree(quotas, 12, 1).collect()}
