@@ -320,6 +320,41 @@ def test_simhash_of_nothing(spark):
 
 # --- repeated passages
 
+def test_substrings_of_long_texts_with_edits(spark):
+    """A text of over a megabyte, its copy with a changed word every few thousand, a copy with other spaces, and a period."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(50_000)}" for _ in range(200_000)]
+    edited = [w if k % 3000 else "changed" for k, w in enumerate(base)]
+    data = [(1, " ".join(base), "s"), (2, " ".join(edited), "s"), (3, "\n".join(base), "s"), (4, "du da " * 300, "s"),
+            (5, "da du " * 200, "s"), (None, " ".join(base), "s")]
+    first = {}
+    for doc, text, _ in data[:5]:
+        ws = spaced(text)
+        for k in range(len(ws) - 49):
+            first.setdefault(hash(tuple(ws[k:k + 50])), doc)
+    expected = {None: 0}
+    for doc, text, _ in data[:5]:
+        ws, upto, lost = spaced(text), 0, 0
+        for k in range(len(ws) - 49):
+            if first[hash(tuple(ws[k:k + 50]))] < doc:
+                lost += k + 50 - max(k, upto)
+                upto = k + 50
+        expected[doc] = lost
+    got = substrings.find_repeats(documents(spark, data))
+    assert {r.doc_id: r.n_removed for r in substrings.digest(got).collect()} == expected
+    assert 0 < expected[2] < expected[3] == 200_000 and expected[4] == 0 < expected[5]
+
+
+def test_joins_of_hot_keys(spark, monkeypatch):
+    from outagelab.llm import common
+    monkeypatch.setattr(common, "HOT", 10)
+    rows_ = spark.createDataFrame([(k % 7 if k % 2 else 99, k) for k in range(200)] + [(None, 500), (1000, 501)], "k long, v long")
+    counted = rows_.where("k < 1000").groupBy("k").count().withColumnRenamed("count", "n").withColumn("name", mix.F.col("k") + 1)
+    for how, n in (("inner", 200), ("left", 202)):
+        got = common.join_counted(rows_, counted, ["k"], how).collect()
+        assert len(got) == n and all(r.name == (None if r.v >= 500 else r.k + 1) for r in got)
+
+
 def test_substrings(spark):
     data = rows(n=90)
     first = {}
