@@ -40,7 +40,7 @@ LENGTH = 100
 GRAM = 32
 SHARD_BYTES = 8 << 20     # text sorted at a time, but for the last anchor of a shard
 ANCHOR_BYTES = 1 << 20    # different stretches of an anchor beyond this are split by a second key
-QUEUE_BYTES = 64 << 20    # of a sorter's queue that stay in memory
+QUEUE_BYTES = 8 << 20     # of a sorter's queue that stay in memory
 
 
 class RunQueue:
@@ -97,98 +97,194 @@ def _rising(text: np.ndarray) -> np.ndarray:
     return rises
 
 
-def _sort_stars(text: np.ndarray, stars: np.ndarray, depth: int) -> np.ndarray:
-    """S* suffixes in the order of their first ``depth`` symbols, tied ones side by side."""
-    padded = np.concatenate([text, np.zeros(depth + 8, text.dtype)])
-    order, group = stars, np.zeros(len(stars), np.int64)
-    todo = np.arange(len(stars))  # places that still share their group
-    for at in range(0, depth if len(stars) > 1 else 0, 4):
-        p = order[todo]
-        word = np.zeros(len(p), np.uint64)
-        for k in range(4):
-            word = (word << np.uint64(16)) | padded[p + at + k].astype(np.uint64)
-        by = np.lexsort((word, group[todo]))
-        order[todo], word, g = p[by], word[by], group[todo][by]
-        new = np.concatenate([[True], (word[1:] != word[:-1]) | (g[1:] != g[:-1])])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        group[todo] = todo[first]
-        size = np.bincount(first, minlength=len(new))[first]
-        todo = todo[size > 1]
+def _common(text: np.ndarray, one: np.ndarray, other: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the common prefix of pairs of suffixes, at most ``depth``."""
+    padded = np.concatenate([text, np.zeros(depth + 8, text.dtype)]).astype(np.uint64)
+    out, todo = np.full(len(one), depth, np.int32), np.arange(len(one))
+    # Four symbols at a time, the first one in the lowest bits.
+    words = padded[:-3] | padded[1:-2] << np.uint64(16) | padded[2:-1] << np.uint64(32) | padded[3:] << np.uint64(48)
+    for at in range(0, depth, 4):
+        differ = words[one[todo] + at] ^ words[other[todo] + at]
+        ended = differ != 0
+        bits = differ[ended]
+        equal = sum((bits & np.uint64((1 << 16 * k) - 1) == 0).astype(np.int32) for k in (1, 2, 3))
+        out[todo[ended]] = np.minimum(at + equal, depth)
+        todo = todo[~ended]
         if not len(todo):
             break
-    return order
+    return out
 
 
-def induced_order(text: np.ndarray, depth: int, limit: int = QUEUE_BYTES) -> np.ndarray:
-    """Suffixes of ``text`` (symbols below 65,536) ordered by their first ``depth`` symbols."""
+def _ties(group: np.ndarray) -> np.ndarray:
+    """Places that share their group with a neighbour."""
+    tied = np.zeros(len(group), bool)
+    same = group[1:] == group[:-1]
+    tied[1:] |= same
+    tied[:-1] |= same
+    return tied
+
+
+def _regrouped(todo: np.ndarray, new: np.ndarray) -> np.ndarray:
+    return todo[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+
+
+def _sort_stars(text: np.ndarray, rises: np.ndarray, stars: np.ndarray, depth: int) -> np.ndarray:
+    """S* suffixes in the order of their first ``depth`` symbols, tied ones side by side.
+
+    The substrings from each star to the next one are sorted and named; then the names are, in pairs, fours and so on,
+    until ``depth`` symbols have a name.
+    """
+    n, m = len(text), len(stars)
+    if m < 2:
+        return stars
+    # A symbol that falls is less than the same symbol that rises, so equal substrings end together; 0 stands beyond them.
+    typed = np.concatenate([text.astype(np.uint64) * 2 + rises + 1, np.zeros(depth + 8, np.uint64)])
+    words = typed[:-3] << np.uint64(48) | typed[1:-2] << np.uint64(32) | typed[2:-1] << np.uint64(16) | typed[3:]
+    size = np.concatenate([stars[1:], [n]]) + 1 - stars   # the last one ends in the 0 behind the text
+    order, group, todo = np.arange(m), np.zeros(m, np.int64), np.arange(m)
+    for at in range(0, depth, 4):
+        star = order[todo]
+        over = np.clip(4 - (size[star] - at), 0, 3).astype(np.uint64) * np.uint64(16)
+        word = words[stars[star] + at] >> over << over
+        by = np.lexsort((word, group[todo])) if at else np.argsort(word, kind="stable")
+        star, word, g = star[by], word[by], group[todo][by]
+        order[todo] = star
+        group[todo] = _regrouped(todo, np.concatenate([[True], (word[1:] != word[:-1]) | (g[1:] != g[:-1])]))
+        todo = todo[_ties(group[todo]) & (size[star] - at > 4)]
+        if not len(todo):
+            break
+    name = np.empty(m, np.int64)
+    name[order] = group
+    todo, named = np.flatnonzero(_ties(group)), 1
+    while len(todo) and 2 * named < depth:   # a substring goes two symbols ahead at least
+        star = order[todo]
+        second = np.where(star + named < m, name[np.minimum(star + named, m - 1)] + 1, 0)
+        pair = group[todo] * (m + 1) + second
+        by = np.argsort(pair, kind="stable")
+        star, pair = star[by], pair[by]
+        order[todo] = star
+        group[todo] = _regrouped(todo, np.concatenate([[True], pair[1:] != pair[:-1]]))
+        name[star] = group[todo]
+        todo, named = todo[_ties(group[todo])], 2 * named
+    return stars[order]
+
+
+SUFFIX = 1 << 24   # a tuple in the queue: the suffix times this, plus the length it shares with the one before it
+
+
+def induced(text: np.ndarray, depth: int, limit: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of ``text`` (symbols below 32,767) ordered by their first ``depth`` symbols, and the number of symbols, at most
+    ``depth``, that each shares with the one before it."""
     n = len(text)
     if n < 2:
-        return np.arange(n)
+        return np.arange(n), np.zeros(n, np.int32)
     rises = _rising(text)
-    stars = np.flatnonzero(rises[1:] & ~rises[:-1]) + 1
-    stars = _sort_stars(text, stars.copy(), depth + 4)
+    stars = _sort_stars(text, rises, np.flatnonzero(rises[1:] & ~rises[:-1]) + 1, depth + 4)
+    shared = np.zeros(len(stars), np.int64)
+    shared[1:] = _common(text, stars[1:], stars[:-1], depth)
     symbols = np.unique(text).tolist()
     seeds, falling, found = RunQueue(limit), RunQueue(limit), {}
-    seeds.push_all(text[stars], stars)
+    seeds.push_all(text[stars], stars * SUFFIX + shared)
 
-    def induce(queue: RunQueue, suffixes: np.ndarray, want: bool) -> None:
-        before = suffixes[suffixes > 0] - 1
-        before = before[rises[before] == want]
-        queue.push_all(text[before], before)
+    def induce(queue: RunQueue, least: np.ndarray, items: np.ndarray, want: bool) -> None:
+        """Queue the suffixes before these; two of one symbol share a symbol more than the least that is shared between their
+        sources. ``least`` holds that for each symbol since its last suffix, -1 before its first."""
+        if not len(items):
+            return
+        suffixes, common = items // SUFFIX, items % SUFFIX
+        at = np.flatnonzero((suffixes > 0) & (rises[suffixes - 1] == want))
+        before = suffixes[at] - 1
+        by = np.argsort(text[before], kind="stable")
+        at, before = at[by], before[by]
+        symbol = text[before]
+        to_end = np.minimum.accumulate(np.append(common, depth)[::-1])[::-1]
+        running = np.where(least < 0, -1, np.minimum(least, to_end[0]))
+        if len(at):
+            first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
+            since = np.concatenate([[0], at[:-1] + 1])
+            since[first] = 0
+            between = np.minimum.reduceat(np.append(common, depth), np.stack([since, at + 1], axis=1).ravel())[::2]
+            own = symbol[first]
+            between[first] = np.minimum(between[first], np.where(least[own] < 0, depth, least[own]))
+            value = np.minimum(between + 1, depth)
+            value[first[least[own] < 0]] = 0
+            queue.push_all(symbol, before * SUFFIX + value)
+            last = np.concatenate([first[1:], [len(at)]]) - 1
+            running[own] = to_end[at[last] + 1]
+        least[:] = running
+
+    def joined(items: np.ndarray, previous: int | None) -> np.ndarray:
+        """The items, the first one with what it shares with the suffix before."""
+        if len(items):
+            one = int(items[0] // SUFFIX)
+            items = items.copy()
+            items[0] = one * SUFFIX
+            if previous is not None:
+                a, b = text[one:one + depth], text[previous:previous + depth]
+                k = min(len(a), len(b))
+                differ = np.flatnonzero(a[:k] != b[:k])
+                items[0] += int(differ[0]) if len(differ) else k
+        return items
 
     # Left to right: the last suffix starts it, then each byte's falling suffixes and its S* suffixes.
-    falling.push(int(text[n - 1]), np.array([n - 1]))
+    least = np.full(max(symbols) + 1, -1, np.int64)
+    falling.push(int(text[n - 1]), np.array([(n - 1) * SUFFIX]))
+    least[text[n - 1]] = 0
     for symbol in symbols:
         parts = []
         while len(part := falling.pop(symbol)):
             parts.append(part)
-            induce(falling, part, False)
-        found[symbol] = parts
-        induce(falling, seeds.pop(symbol), False)
+            induce(falling, least, part, False)
+        found[symbol] = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        previous = int(found[symbol][-1] // SUFFIX) if parts else None
+        induce(falling, least, joined(seeds.pop(symbol), previous), False)
     # Right to left: each byte's rising suffixes, largest first, then its falling ones.
     rising, out = RunQueue(limit), []
+    least = np.full(max(symbols) + 1, -1, np.int64)
     for symbol in reversed(symbols):
         parts = []
         while len(part := rising.pop(symbol)):
             parts.append(part)
-            induce(rising, part, True)
-        down = np.concatenate(found[symbol])[::-1] if found[symbol] else np.zeros(0, np.int64)
-        induce(rising, down, True)
+            induce(rising, least, part, True)
+        down = found.pop(symbol)[::-1]
+        # Backwards, each one shares with the one before it what that one shared with it.
+        down = down - down % SUFFIX + np.concatenate([[0], down[:-1] % SUFFIX])[:len(down)]
+        down = joined(down, int(parts[-1][-1] // SUFFIX) if parts else None)
+        induce(rising, least, down, True)
         out += parts + [down]
-    return np.concatenate(out)[::-1]
+    items = np.concatenate(out)
+    return (items // SUFFIX)[::-1], np.concatenate([[0], (items % SUFFIX)[:0:-1]]).astype(np.int32)
+
+
+def induced_order(text: np.ndarray, depth: int, limit: int = QUEUE_BYTES) -> np.ndarray:
+    return induced(text, depth, limit)[0]
 
 
 def repeated_starts(texts: list[bytes], owners: np.ndarray, starts: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each stretch the offsets whose ``length`` bytes also start earlier, by (owner, start), in any stretch."""
+    """For each stretch the offsets whose ``length`` bytes also start earlier, by (owner, start), in any stretch.
+
+    Owners are ranks, starts below 2 ** 40.
+    """
     sizes = np.array([len(t) for t in texts])
-    first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    ends = np.cumsum(sizes + 1)
+    first = ends - sizes - 1
     text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + 1
     text[first + sizes] = 0
-    order = induced_order(text, length)
-    piece = np.searchsorted(first, order, side="right") - 1
-    offset = order - first[piece]
-    whole = offset + length <= sizes[piece]
-    order, piece, offset = order[whole], piece[whole], offset[whole]
+    order, common = induced(text, length)
+    piece = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
+    whole = ((first + sizes)[piece] - np.arange(len(text)) >= length)[order]
+    order, common = order[whole], common[whole]
     if not len(order):
         return [np.zeros(0, np.int64) for _ in texts]
-    # Common prefix with the neighbour before, up to ``length``, in blocks.
-    view = np.lib.stride_tricks.sliding_window_view(text, length)
-    same = np.zeros(len(order), bool)
-    for lo in range(1, len(order), 20_000):
-        hi = min(lo + 20_000, len(order))
-        same[lo:hi] = (view[order[lo:hi]] == view[order[lo - 1:hi - 1]]).all(axis=1)
-    group = np.cumsum(~same)
-    place = starts[piece] + offset
-    by = np.lexsort((place, owners[piece], group))
-    g, o, p = group[by], owners[piece][by], place[by]
-    lead = np.concatenate([[True], g[1:] != g[:-1]])
-    head = np.maximum.accumulate(np.where(lead, np.arange(len(g)), 0))
-    later = (o != o[head]) | (p != p[head])
-    hit = by[later]
-    out_piece, out_offset = piece[hit], offset[hit]
-    sort = np.argsort(out_piece, kind="stable")
-    cuts = np.searchsorted(out_piece[sort], np.arange(len(texts) + 1))
-    return [np.sort(out_offset[sort][a:b]) for a, b in zip(cuts, cuts[1:])]
+    # Suffixes between two equal windows are equal too, so a window's neighbour is never left out.
+    lead = common < length
+    lead[0] = True
+    place = (owners.astype(np.int64) * (1 << 40) + starts - first)[piece[order]] + order
+    lead = np.flatnonzero(lead)
+    earliest = np.repeat(np.minimum.reduceat(place, lead), np.diff(np.append(lead, len(order))))
+    hit = np.sort(order[place != earliest])
+    cuts = np.searchsorted(hit, np.append(first, len(text)))
+    return [hit[a:b] - f for a, b, f in zip(cuts, cuts[1:], first)]
 
 
 def _raw(text: str | None) -> bytes:
