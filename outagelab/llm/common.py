@@ -7,9 +7,13 @@ named in the arguments are ignored, whatever their names.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stage_root
+
 # Fixed values of the word rules.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -62,6 +66,19 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], how: str
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
 
+def bucketed_stage(df: DataFrame, name: str, by: str) -> tuple[DataFrame, str]:
+    """``df`` as a stage in buckets of a column, one for each shuffle partition, and the name of its table.
+
+    Joins by that column shuffle the other side only. The files are in the folder of all stages; the table is theirs in the
+    catalog, for the caller to drop.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", f"{stage_root(spark)}/{table}").bucketBy(buckets, by).saveAsTable(table)
+    return spark.table(table), table
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished jobs now, after a stage has been written.
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import discard, stage
-from .common import KEY, TEXT, document_key, keyed, release_shuffles
+from .common import KEY, TEXT, bucketed_stage, document_key, keyed, release_shuffles
 from .substrings import BASES, Roller, least_of
 from .tiles import shuffle_partitions
 
@@ -581,7 +581,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = summary.join(originals, KEY).select(KEY, F.explode("anchors").alias("anchor"))
     shared = marks.groupBy("anchor").count().where("count > 1").select("anchor")
     wanted = marks.join(shared, "anchor").groupBy(KEY).agg(F.collect_set("anchor").alias("shared"))
-    texts = stage(source.join(wanted, KEY).select(KEY, TEXT, "shared").dropDuplicates([KEY]), "suffix-texts")
+    # Later steps join the texts by key again and again: in buckets they are shuffled once.
+    texts, bucketed = bucketed_stage(source.join(wanted, KEY).select(KEY, TEXT, "shared").dropDuplicates([KEY]), "suffix-texts", KEY)
     discard(summary)
     release_shuffles(docs.sparkSession)
     runs = stage(_stretches(texts, length), "suffix-stretches")
@@ -631,6 +632,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cuts = stage(texts.select(KEY, TEXT).join(removed, KEY).mapInArrow(
         cut, f"{KEY} {kind}, spans {span_type}, n_removed long, kept string"), "suffix-cuts")
     discard(runs, texts, same, removed)
+    docs.sparkSession.sql(f"drop table {bucketed}")
     release_shuffles(docs.sparkSession)
     whole = F.coalesce(F.col("first") != F.col(KEY), F.lit(False))
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
