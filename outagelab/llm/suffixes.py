@@ -580,10 +580,12 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     originals = firsts.select(F.col("first").alias(KEY))
     marks = summary.join(originals, KEY).select(KEY, F.explode("anchors").alias("anchor"))
     shared = marks.groupBy("anchor").count().where("count > 1").select("anchor")
-    wanted = marks.join(shared, "anchor").groupBy(KEY).agg(F.collect_set("anchor").alias("shared"))
+    wanted = stage(marks.join(shared, "anchor").groupBy(KEY).agg(F.collect_set("anchor").alias("shared")), "suffix-shared")
+    discard(summary)
+    release_shuffles(docs.sparkSession)
     # Later steps join the texts by key again and again: in buckets they are shuffled once.
     texts, bucketed = bucketed_stage(source.join(wanted, KEY).select(KEY, TEXT, "shared").dropDuplicates([KEY]), "suffix-texts", KEY)
-    discard(summary)
+    discard(wanted)
     release_shuffles(docs.sparkSession)
     runs = stage(_stretches(texts, length), "suffix-stretches")
     place = F.struct(KEY, "start")
