@@ -121,6 +121,38 @@ def test_licences(spark):
     assert licenses.licences(empty(spark)).count() == 0
 
 
+GNU = ("{} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as "
+       "published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version.")
+NAMED = [
+    ("GPL-2.0", GNU.format("This program", ";", "", ";", "2")), ("GPL-3.0", GNU.format("This program", ":", "", ",", "3")),
+    ("LGPL-2.1", GNU.format("This library", ";", "Lesser ", ";", "2.1")), ("LGPL-3.0", GNU.format("This library", ":", "Lesser ", ",", "3")),
+    ("AGPL-3.0", GNU.format("This program", ":", "Affero ", ",", "3")),
+    ("MIT", "This module is distributed under the terms of the MIT license."),
+    ("MIT", "SPDX-License-Identifier: MIT"), ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"), ("BSD-2-Clause", "# SPDX-License-Identifier: BSD-2-Clause"),
+    ("Apache-2.0", "Licensed to the Apache Software Foundation (ASF) under one\nor more contributor license agreements."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held "
+             "liable for any damages\narising from the use of this software."),
+    ("EPL-2.0", "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\n"
+                "which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("", "This library is not licensed under the MIT License. All rights reserved."),
+    ("", "It is no longer released under the MIT License."),
+    ("", GNU.format("This program", ":", "", ",", "4")),
+]
+
+
+def test_licence_versions_tags_and_denials(spark):
+    rng = random.Random(12)
+    data = [(k, "\n".join(sentence(rng, 12) for _ in range(4)), "s") for k in range(200)]
+    data += [(300 + k, "\n".join([sentence(rng, 9), text, sentence(rng, 9)]), "s") for k, (_, text) in enumerate(NAMED)]
+    # A text of some megabytes, and repeated rows.
+    data += [(400, "du " * 400_000 + "\n" + "lorem ipsum dolor\n" * 50_000 + "Released under the MIT License.", "s")]
+    data += [(401, "Released under the MIT License.", "s")] * 3
+    got = {r.doc_id: r.families for r in licenses.licences(documents(spark, data)).collect()}
+    assert {k: got[300 + k] for k in range(len(NAMED))} == {k: family for k, (family, _) in enumerate(NAMED)}
+    assert got[400] == got[401] == "MIT" and not any(got[k] for k in range(200))
+
+
 MIT = """The MIT License
 
 Copyright (c) 2020 Some One
