@@ -10,11 +10,12 @@ long one (a text that repeats itself). Beyond ``ANCHOR_BYTES`` its windows are s
 share: the half of the anchor's possible offsets in the window, with the bytes that all windows of that half cover. Parts
 that are still too large are halved again; at a single offset the key is the window itself, so every part gets small.
 
-A shard is sorted by induction: S* suffixes (those after a fall and before a rise) are sorted first, then all falling
-(L) suffixes are induced from left to right and all rising (S) suffixes from right to left. The sorter's priority queue
-keeps one first-in-first-out run for each leading byte; runs move to disk when they outgrow their share of memory. The text and
-the finished order of a shard are in memory, which the bounds on shards and anchors limit. Neighbours in the suffix order
-that share ``length`` bytes are repeats of each other.
+A shard is sorted by induction: the substrings between S* suffixes (those after a fall and before a rise) are sorted and
+named, the names are ordered in pairs, fours and so on, then all falling (L) suffixes are induced from left to right and all
+rising (S) suffixes from right to left. The sorter's priority queue keeps one first-in-first-out run of (suffix, common
+prefix) tuples for each leading byte; runs move to disk when they outgrow their share of memory. The text and the finished
+order of a shard are in memory, which the bounds on shards and anchors limit. Neighbours in the suffix order whose common
+prefix has ``length`` bytes are repeats of each other.
 """
 
 from __future__ import annotations

@@ -444,6 +444,43 @@ def test_induced_order():
         assert sorted(order.tolist()) == list(range(len(text))) and found == sorted(found)
 
 
+def test_induced_common_prefixes():
+    import random
+
+    import numpy as np
+    rng = random.Random(2)
+    for t in range(120):
+        text = [rng.choice([[1, 2], [1, 2, 3, 9], [5]][t % 3]) for _ in range(rng.randint(1, 120))]
+        text = np.array(text + text[:len(text) // 2] + text + [0], np.uint16)
+        depth = 300 if t % 2 else 7
+        order, common = suffixes.induced(text, depth, 64 if t % 4 else 1 << 20)
+        found = [text[i:i + depth].tolist() for i in order]
+        for before, after, n in zip(found, found[1:], common[1:].tolist()):
+            assert before[:n] == after[:n] and (n == depth or before[n:n + 1] != after[n:n + 1])
+
+
+def test_a_shard_larger_than_the_queue(monkeypatch):
+    import random
+
+    import numpy as np
+    rng = random.Random(3)
+    passages = [bytes(rng.choices(b"abcdefgh ", k=110)) for _ in range(3000)]
+    texts = [bytes(rng.choices(b"abcdefgh ", k=30)) + rng.choice(passages) + bytes(rng.choices(b"abcdefgh ", k=20)) for _ in range(24_000)]
+    spilled, push = [], suffixes.RunQueue.push
+
+    def counted(queue, *args):
+        push(queue, *args)
+        spilled.append(queue.file is not None)
+    monkeypatch.setattr(suffixes.RunQueue, "push", counted)
+    got = suffixes.repeated_starts(texts, np.arange(len(texts)), np.zeros(len(texts), np.int64), 100)
+    seen, expected = set(), []
+    for text in texts:
+        windows = [text[i:i + 100] for i in range(len(text) - 99)]
+        expected.append([i for i, w in enumerate(windows) if w in seen])
+        seen.update(windows)
+    assert [x.tolist() for x in got] == expected and sum(map(len, expected)) > 100_000 and any(spilled)
+
+
 # --- lines
 
 def test_lines(spark):
