@@ -84,15 +84,23 @@ def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ())
 
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (),
-               slices: int = SLICES) -> DataFrame:
-    """One ROC point per distinct score: rates of rows scoring at least that much."""
+               slices: int = SLICES, start: bool = False) -> DataFrame:
+    """One ROC point per distinct score: rates of rows scoring at least that much.
+
+    ``start`` adds the point (0, 0), without a threshold, that a drawn curve starts at.
+    """
     counts = _score_counts(df, label, score, by)
     cum = running_totals(counts, "score", ["pos", "neg"], by, descending=True, slices=slices)
-    return cum.select(
+    points = cum.select(
         *by, F.col("score").alias("threshold"), "pos", "neg",
         rate(F.col("neg_to"), F.col("neg_all")).alias("fpr"),
         rate(F.col("pos_to"), F.col("pos_all")).alias("tpr"),
     )
+    if not start:
+        return points
+    none = {"threshold": F.lit(None), "pos": F.lit(0), "neg": F.lit(0), "fpr": F.lit(0.0), "tpr": F.lit(0.0)}
+    curves = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where("__n > 0")
+    return points.unionByName(curves.select(*by, *[value.cast(points.schema[c].dataType).alias(c) for c, value in none.items()]))
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (),

@@ -93,7 +93,7 @@ def report(model, splits: Wide, features: Sequence[str]) -> DataFrame:
 
 def roc(model, splits: Wide, features: Sequence[str]) -> DataFrame:
     """ROC points of a fitted model on each split."""
-    return ev.roc_points(predictions(model, splits, features), by=["split"])
+    return ev.roc_points(predictions(model, splits, features), by=["split"], start=True)
 
 
 def tuned_forest(splits: Wide, features: Sequence[str], n: int = 5, k: int = 5, trees=sr.FOREST_TREES,

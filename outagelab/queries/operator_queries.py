@@ -811,6 +811,16 @@ def roc_points(spark, d):
     return _r(ev.roc_points(rule(spark, d)), "fpr", "tpr")
 
 
+@query("roc_curve", f"""with k as (select score, count(*) filter (where label = 1) as pos, count(*) filter (where label = 0) as neg
+  from ({_RULE}) group by 1)
+select cast(score as double) as threshold, pos, neg,
+  round(sum(neg) over (order by score desc) / sum(neg) over (), 6) as fpr, round(sum(pos) over (order by score desc) / sum(pos) over (), 6) as tpr
+from k
+union all select cast(null as double), 0, 0, 0.0, 0.0 where exists (select 1 from k)""")
+def roc_curve(spark, d):
+    return _r(ev.roc_points(rule(spark, d), start=True), "fpr", "tpr")
+
+
 @query("auc", f"""with r as ({_RULE}), k as (select label, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2 as rk from r)
 select round((sum(rk) filter (where label = 1) - n1 * (n1 + 1) / 2) / (n1 * n0), 6) as auc
 from k, (select count(*) filter (where label = 1) as n1, count(*) filter (where label = 0) as n0 from r) group by n1, n0""")

@@ -56,6 +56,15 @@ def test_auc_equals_rank_statistic_and_curve_area(scored):
     assert np.trapezoid(y, x) == pytest.approx(want) and pts[-1] == (1.0, 1.0)
 
 
+def test_curve_start(scored):
+    both = scored.withColumn("g", F.lit("a")).unionByName(scored.withColumn("g", F.lit("b")))
+    begun, plain = ev.roc_points(both, by=["g"], start=True), ev.roc_points(both, by=["g"])
+    added = [tuple(r) for r in begun.exceptAll(plain).collect()]
+    assert sorted(added) == [("a", None, 0, 0, 0.0, 0.0), ("b", None, 0, 0, 0.0, 0.0)]
+    assert plain.exceptAll(begun).count() == 0 and begun.schema == plain.schema
+    assert ev.roc_points(scored.limit(0), start=True).count() == 0
+
+
 def test_auc_by_group(scored):
     both = scored.withColumn("g", F.lit("a")).unionByName(scored.withColumn("g", F.lit("b")).withColumn("score", -F.col("score")))
     got = {r.g: r.auc for r in ev.auc(both, by=["g"]).collect()}
