@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .forest import _side_by_side
@@ -21,6 +21,7 @@ from .linear import Setting, SharedFit, columns, scored_settings
 
 SVM_GAMMA = (1.0, 0.1, 0.01, 0.001, 0.0001)     # fixed values: the study's range
 WIDTH = 256                                     # Fourier features; the kernel's error falls with their root
+PRODUCT_ROWS = 1024                             # rows whose mapped vectors are in memory at a time
 
 
 @dataclass(frozen=True)
@@ -48,6 +49,20 @@ class FourierFeatures:
 
         return df.withColumn(features, array_to_vector(mapped(vector_to_array(features))))
 
+    def product(self, left: Column, right: Column) -> Column:
+        """Inner product of two mapped vectors of a row. The mapped rows, ``width`` wide, stay in the task that makes them."""
+        own = self
+
+        @F.pandas_udf("double")
+        def inner(x: pd.Series, y: pd.Series) -> pd.Series:
+            out = np.empty(len(x))
+            for at in range(0, len(x), PRODUCT_ROWS):
+                a, b = (own.map(np.vstack(side.iloc[at:at + PRODUCT_ROWS].to_numpy())) for side in (x, y))
+                out[at:at + PRODUCT_ROWS] = np.einsum("ij,ij->i", a, b)
+            return pd.Series(out)
+
+        return inner(vector_to_array(left), vector_to_array(right))
+
 
 @dataclass(frozen=True)
 class KernelMachine:

@@ -144,3 +144,34 @@ def test_probabilities_of_a_machine(data):
     assert n == 240 and mean == pytest.approx(share, abs=1e-5)
     rows = est.scored(machine, data).select("score").collect()
     assert all(0 < r.score < 1 for r in rows)
+
+
+def test_kernel_of_neighbours(spark, monkeypatch):
+    """Rows without a key are left out, pairs follow the key, and the keys never meet in one row."""
+    from outagelab.plans.prepare import Wide
+    from outagelab.queries import model_checks
+
+    rng = np.random.default_rng(2)
+    keys = [9000, 5, 4100, 70, None, 8200]
+    x = rng.normal(size=(len(keys), 2))
+    rows = [(k, float(a), float(b), i % 2, "train") for i, (k, (a, b)) in enumerate(zip(keys, x))]
+    splits = Wide(spark.createDataFrame(rows, "asset_id BIGINT, a DOUBLE, b DOUBLE, y_flag INT, split STRING"), [], ["a", "b"])
+    monkeypatch.setattr(model_checks, "prepared", lambda spark, d: splits)
+    monkeypatch.setattr(model_checks, "FEATURES", ["a", "b"])
+    found = model_checks.kernel_error(spark, "unused")
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    order = [i for i in sorted(range(len(keys)), key=lambda i: keys[i] or 0) if keys[i] is not None]
+    d2 = ((x[order[1:]] - x[order[:-1]]) ** 2).sum(1)
+    got = {r.gamma: r for r in found.collect()}
+    assert set(got) == set(kernel.SVM_GAMMA)
+    for gamma, r in got.items():
+        assert r.pairs == 4 and r.mean_kernel == pytest.approx(np.exp(-gamma * d2).mean(), abs=1e-6) and r.close
+
+
+def test_product_of_mapped_vectors(spark, monkeypatch):
+    monkeypatch.setattr(kernel, "PRODUCT_ROWS", 3)
+    x = np.random.default_rng(4).normal(size=(8, 2, 3))
+    df = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(x)], "i INT, a ARRAY<DOUBLE>, b ARRAY<DOUBLE>")
+    features = kernel.FourierFeatures(0.1, 3, 64)
+    got = df.select("i", features.product(array_to_vector("a"), array_to_vector("b")).alias("p")).orderBy("i").collect()
+    assert [r.p for r in got] == pytest.approx((features.map(x[:, 0]) * features.map(x[:, 1])).sum(1))
