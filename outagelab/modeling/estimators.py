@@ -7,6 +7,7 @@ parameter and a depth limit of 30.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.classification import (
@@ -14,11 +15,21 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 30
 
+# A fit's iterations are one small job each; fewer rows than this are not worth a task of their own.
+ROWS_PER_TASK = 10_000
+# Every task of every iteration answers the driver, so tasks beyond what the cores can share add answers and no speed.
+TASKS_PER_CORE = 3
+
+
+def tasks_worth(spark: SparkSession, rows: int) -> int:
+    """Tasks a fit over ``rows`` rows is split into: by its rows, up to a few per core of the cluster."""
+    return max(1, min(math.ceil(rows / ROWS_PER_TASK), TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+
 
 def assemble(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
     """Label and one feature vector per row.

@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .estimators import tasks_worth
 from .forest import _side_by_side
 from .linear import Setting, SharedFit, columns, scored_settings
 
@@ -144,7 +145,9 @@ def calibrate(fit: Callable[[DataFrame], object], data: DataFrame, k: int = 5, f
     """
     margins = held_out_margins(fit, data, k, fold).select("label", array_to_vector(F.array("margin")).alias("features")).persist()
     try:
-        weights, _ = SharedFit(margins).fit([Setting(1e9, "l2")], max_iter=500, tol=1e-9)
+        # The union has k times the tasks of the data, and a fit runs a job per step.
+        few = margins.coalesce(tasks_worth(margins.sparkSession, margins.count()))
+        weights, _ = SharedFit(few).fit([Setting(1e9, "l2")], max_iter=500, tol=1e-9)
     finally:
         margins.unpersist()
     return Calibrated(fit(data), float(weights[1, 0]), float(weights[0, 0]))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from contextlib import contextmanager
 from functools import reduce
@@ -24,9 +23,6 @@ from .tables import category_profile, flags_to_drop
 # Columns the study removed as leaks before modelling.
 LEAKS = ("clinic_had_mia", "sku_P-WAL-107-ELC-03", "sku_P-WAL-106-ELC-01")
 
-# A fit's iterations are one small job each; fewer rows than this are not worth a task of their own.
-ROWS_PER_TASK = 10_000
-
 
 def split_part(splits: Wide, part: str) -> DataFrame:
     return splits.df.filter(F.col("split") == part)
@@ -55,7 +51,7 @@ def kept(df: DataFrame):
     """Rows that many fits read, in no more partitions than they are worth, released afterwards."""
     rows = df.persist()
     try:
-        yield rows.coalesce(max(1, math.ceil(rows.count() / ROWS_PER_TASK)))
+        yield rows.coalesce(est.tasks_worth(rows.sparkSession, rows.count()))
     finally:
         rows.unpersist()
 

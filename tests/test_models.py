@@ -98,6 +98,15 @@ def test_explanation_recovers_a_linear_effect(splits):
     assert mean["signal"] > 3 * abs(mean["noise"]) > 0
 
 
+def test_fits_have_a_bounded_number_of_tasks(spark, monkeypatch):
+    most = 3 * spark.sparkContext.defaultParallelism
+    assert est.tasks_worth(spark, 0) == est.tasks_worth(spark, 10_000) == 1
+    assert est.tasks_worth(spark, 10 ** 9) == most
+    monkeypatch.setattr(est, "ROWS_PER_TASK", 1)
+    with models.kept(spark.range(0, 400, 1, 40)) as rows:
+        assert rows.rdd.getNumPartitions() == most
+
+
 def test_depth_beyond_the_limit_is_an_error():
     with pytest.raises(ValueError):
         est.decision_tree(max_depth=31)

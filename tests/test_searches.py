@@ -146,6 +146,19 @@ def test_probabilities_of_a_machine(data):
     assert all(0 < r.score < 1 for r in rows)
 
 
+def test_calibration_runs_in_no_more_tasks_than_the_data(data, monkeypatch):
+    seen = []
+
+    class Watched(linear.SharedFit):
+        def __init__(self, rows, *args):
+            seen.append(rows.rdd.getNumPartitions())
+            super().__init__(rows, *args)
+
+    monkeypatch.setattr(kernel, "SharedFit", Watched)
+    kernel.calibrate(lambda rows: est.linear_svm(0.1, rows.count(), maxIter=5).fit(rows), data, 4)
+    assert seen == [1]
+
+
 def test_kernel_of_neighbours(spark, monkeypatch):
     """Rows without a key are left out, pairs follow the key, and the keys never meet in one row."""
     from outagelab.plans.prepare import Wide
