@@ -1,8 +1,8 @@
 """Local explanation of single predictions by a weighted linear fit around a row.
 
 Each chosen row is perturbed inside Spark, all perturbed rows are scored in one distributed
-``transform``, and one small weighted least-squares system per row is solved in its own group of
-exactly ``samples`` rows.
+``transform``, and one small weighted least-squares system per row is solved. Its moments are summed
+where the copies are made, so a shuffle carries one row of moments per key and not all copies.
 """
 
 from __future__ import annotations
@@ -11,7 +11,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,22 +41,45 @@ def perturbed(rows: DataFrame, key: str, size: int, samples: int, spread: float
 def explain_rows(model, rows: DataFrame, key: str, features: Sequence[str], samples: int = 200,
                  spread: float = 1.0, width: float | None = None, seed: int = 42) -> DataFrame:
     """(key, feature, weight): local linear effect of each feature on the model's score."""
-    from .estimators import scored
+    from .estimators import scored, tasks_worth
 
     size = len(features)
     width = width or 0.75 * size ** 0.5
-    cloud = scored(model, perturbed(rows, key, size, samples, spread, seed))
+    # The work lies in the copies, so few rows are dealt over as many tasks as their copies are worth.
+    dealt = rows.repartition(tasks_worth(rows.sparkSession, rows.count() * samples), key)
+    cloud = scored(model, perturbed(dealt, key, size, samples, spread, seed))
     distance = F.aggregate("z", F.lit(0.0), lambda acc, v: acc + v * v)
     weighted = cloud.select(key, "z", "score", F.exp(-distance / (width * width)).alias("w"))
-    names = list(features)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = np.vstack(pdf["z"].to_numpy())
-        x = np.hstack([np.ones((len(z), 1)), z])
-        xw = x * pdf["w"].to_numpy()[:, None]
-        beta = np.linalg.solve(xw.T @ x + 1e-6 * np.eye(size + 1), xw.T @ pdf["score"].to_numpy())
-        return pd.DataFrame({key: pdf[key].iloc[0], "feature": names, "weight": beta[1:]})
-
-    schema = f"{key} {rows.schema[key].dataType.simpleString()}, feature STRING, weight DOUBLE"
-    # A group is exactly ``samples`` rows of one key: bounded by the parameter.
-    return weighted.groupBy(key).applyInPandas(solve, schema)
+    p = size + 1
+
+    def sums(batches):
+        # The copies of a row stand together, so nearly every run is a whole row; what is cut or apart meets in the aggregate.
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = batch.column(0)
+            change = pc.fill_null(pc.not_equal(keys.slice(0, n - 1), keys.slice(1)), True).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+            x = np.hstack([np.ones((n, 1)), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, size)])
+            xw = x * batch.column(3).to_numpy(zero_copy_only=False)[:, None]
+            score = batch.column(2).to_numpy(zero_copy_only=False)
+            found = np.stack([np.concatenate([(xw[a:b].T @ x[a:b]).ravel(), xw[a:b].T @ score[a:b]])
+                              for a, b in zip(starts, [*starts[1:], n])])
+            lists = pa.ListArray.from_arrays(np.arange(len(starts) + 1, dtype=np.int32) * found.shape[1], found.ravel())
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(starts)), lists], [key, "v"])
+
+    @F.pandas_udf("array<double>")
+    def solved(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        flat = np.vstack(v.to_numpy())
+        grams = flat[:, :p * p].reshape(-1, p, p) + 1e-6 * np.eye(p)
+        return pd.Series(list(np.linalg.solve(grams, flat[:, p * p:, None])[:, 1:, 0]))
+
+    kind = rows.schema[key].dataType.simpleString()
+    parts = weighted.mapInArrow(sums, f"`{key}` {kind}, v array<double>").select(key, array_to_vector("v").alias("v"))
+    systems = parts.groupBy(key).agg(Summarizer.sum(F.col("v")).alias("v"))
+    weights = systems.select(key, solved(vector_to_array("v")).alias("weight"))
+    pairs = F.arrays_zip(F.array(*[F.lit(f) for f in features]).alias("feature"), F.col("weight"))
+    return weights.select(key, F.inline(pairs).alias("feature", "weight"))

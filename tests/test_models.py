@@ -98,6 +98,28 @@ def test_explanation_recovers_a_linear_effect(splits):
     assert mean["signal"] > 3 * abs(mean["noise"]) > 0
 
 
+def test_explanation_sums_moments_per_key(spark):
+    """Repeated and null keys are one group each, and no group of copies is shuffled."""
+    rng = np.random.default_rng(5)
+    keys = [1, 2, 2, None, None, 3]
+    x = rng.normal(size=(len(keys), 2)).tolist()
+    from pyspark.ml.functions import array_to_vector
+    rows = spark.createDataFrame(list(zip(keys, x)), "id BIGINT, x ARRAY<DOUBLE>").withColumn("features", array_to_vector("x")).drop("x")
+    model = est.logistic(1.0, 100).fit(rows.withColumn("label", F.pmod(F.coalesce("id", F.lit(0)), F.lit(2)).cast("double")))
+    out = explain_rows(model, rows, "id", ["a", "b"], samples=30, width=1.0)
+    plan = out._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+    got = {(r.id, r.feature): r.weight for r in out.collect()}
+    cloud = est.scored(model, perturbed(rows, "id", 2, 30)).select("id", "z", "score").collect()
+    assert len(got) == 8
+    for key in (1, 2, None, 3):
+        own = [r for r in cloud if r.id == key]
+        z = np.array([r.z for r in own])
+        one, w = np.hstack([np.ones((len(z), 1)), z]), np.exp(-(z ** 2).sum(1))
+        beta = np.linalg.solve((one * w[:, None]).T @ one + 1e-6 * np.eye(3), (one * w[:, None]).T @ np.array([r.score for r in own]))
+        assert [got[key, "a"], got[key, "b"]] == pytest.approx(beta[1:])
+
+
 def test_fits_have_a_bounded_number_of_tasks(spark, monkeypatch):
     most = 3 * spark.sparkContext.defaultParallelism
     assert est.tasks_worth(spark, 0) == est.tasks_worth(spark, 10_000) == 1
