@@ -17,6 +17,7 @@ from ..modeling import importance as imp
 from ..modeling import search as sr
 from ..operators.cohort import class_weights, fold_by_rank
 from ..operators.features import safe_name, variance_filter
+from ..sources import stage
 from .prepare import SHARES, Wide
 from .tables import category_profile, flags_to_drop
 
@@ -68,8 +69,9 @@ def baseline_scores(splits: Wide, features: Sequence[str], k: int = 5, seed: int
 
 
 def predictions(model, splits: Wide, features: Sequence[str]) -> DataFrame:
-    return est.scored(model, est.assemble(splits.df, features, splits.label, keep=[splits.key, "split"])).select(
-        "split", "label", "prediction", "score")
+    """Stored, as a report reads them several times and scoring is most of its work."""
+    return stage(est.scored(model, est.assemble(splits.df, features, splits.label, keep=[splits.key, "split"])).select(
+        "split", "label", "prediction", "score"), "predictions")
 
 
 def evaluate(model, splits: Wide, features: Sequence[str]) -> DataFrame:

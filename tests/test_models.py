@@ -129,6 +129,24 @@ def test_fits_have_a_bounded_number_of_tasks(spark, monkeypatch):
         assert rows.rdd.getNumPartitions() == most
 
 
+def test_predictions_are_scored_once(spark, splits):
+    scored = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        def transform(self, df):
+            def count(batches):
+                for batch in batches:
+                    scored.add(len(batch))
+                    yield batch.assign(prediction=1.0, p=0.5)
+            from pyspark.ml.functions import array_to_vector, vector_to_array
+            plain = df.withColumn("features", vector_to_array("features"))
+            out = plain.mapInPandas(count, "asset_id string, split string, label double, features array<double>, prediction double, p double")
+            return out.withColumn("probability", array_to_vector(F.array("p", "p"))).drop("p")
+
+    assert models.evaluate(Counting(), splits, FEATURES).count() == 3
+    assert scored.value == splits.df.count()
+
+
 def test_depth_beyond_the_limit_is_an_error():
     with pytest.raises(ValueError):
         est.decision_tree(max_depth=31)
