@@ -108,6 +108,14 @@ def test_quality_without_labels_or_documents(spark):
     assert quality.score_documents(empty(spark), labels).count() == 0
 
 
+def test_every_ordinary_paragraph_trains_or_calibrates(spark):
+    lines = [f"plain line number w{k} of many" for k in range(40)]
+    data = [(k, "\n".join(lines[k % 4::4] + ["", "Released under the MIT License."]), "s") for k in range(8)] + [(9, None, "s")]
+    got = licenses.ordinary_paragraphs(documents(spark, data)).collect()
+    assert {" ".join(r.ws): r.n for r in got} == {line: 2 for line in lines}
+    assert {r.fit for r in got} == {True, False}
+
+
 def test_licences(spark):
     rng = random.Random(6)
     data = [(k, "\n".join(sentence(rng, 12) for _ in range(4)), "s") for k in range(200)]
