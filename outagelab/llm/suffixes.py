@@ -32,8 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.sinks import discard, stage
-from .common import KEY, TEXT, bucketed_stage, document_key, keyed, release_shuffles
+from ..sources.sinks import discard
+from .common import KEY, TEXT, bucketed_stage, document_key, keyed, stored
 from .substrings import BASES, Roller, least_of
 from .tiles import shuffle_partitions
 
@@ -89,23 +89,29 @@ def _rising(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one (type S); the last one is not."""
     n = len(text)
     rises = np.zeros(n, bool)
-    step = np.sign(text[1:].astype(np.int32) - text[:-1])
-    # Equal neighbours take the type of the end of their stretch.
-    end = np.where(step != 0, np.arange(n - 1), n - 1)
+    # Equal neighbours take the type of the end of their stretch; one that reaches the end of the text falls.
+    end = np.where(text[1:] != text[:-1], np.arange(n - 1, dtype=np.int32), np.int32(n - 1))
     end = np.minimum.accumulate(end[::-1])[::-1]
-    known = end < n - 1
-    rises[:-1][known] = step[end[known]] > 0
+    rises[:-1] = np.append(text[1:] > text[:-1], False)[end]
     return rises
 
 
+def _fours(symbols: np.ndarray, order: str) -> np.ndarray:
+    """For each place its symbol and the next three as one number, the first one in the lowest (``<``) or highest (``>``) bits.
+
+    A view of two bytes a symbol: written out, the numbers of a shard would be the most of a sorter's memory.
+    """
+    held = symbols.astype(f"{order}u2")
+    return np.ndarray((len(held) - 3,), f"{order}u8", held, strides=(2,))
+
+
 def _common(text: np.ndarray, one: np.ndarray, other: np.ndarray, depth: int) -> np.ndarray:
     """Length of the common prefix of pairs of suffixes, at most ``depth``."""
-    padded = np.concatenate([text, np.zeros(depth + 8, text.dtype)]).astype(np.uint64)
-    out, todo = np.full(len(one), depth, np.int32), np.arange(len(one))
+    out, todo = np.full(len(one), depth, np.int32), np.arange(len(one), dtype=np.int32)
     # Four symbols at a time, the first one in the lowest bits.
-    words = padded[:-3] | padded[1:-2] << np.uint64(16) | padded[2:-1] << np.uint64(32) | padded[3:] << np.uint64(48)
+    words = _fours(np.concatenate([text, np.zeros(depth + 8, text.dtype)]), "<")
     for at in range(0, depth, 4):
-        differ = words[one[todo] + at] ^ words[other[todo] + at]
+        differ = (words[one[todo] + at] ^ words[other[todo] + at]).astype(np.uint64)
         ended = differ != 0
         bits = differ[ended]
         equal = sum((bits & np.uint64((1 << 16 * k) - 1) == 0).astype(np.int32) for k in (1, 2, 3))
@@ -139,14 +145,13 @@ def _sort_stars(text: np.ndarray, rises: np.ndarray, stars: np.ndarray, depth: i
     if m < 2:
         return stars
     # A symbol that falls is less than the same symbol that rises, so equal substrings end together; 0 stands beyond them.
-    typed = np.concatenate([text.astype(np.uint64) * 2 + rises + 1, np.zeros(depth + 8, np.uint64)])
-    words = typed[:-3] << np.uint64(48) | typed[1:-2] << np.uint64(32) | typed[2:-1] << np.uint64(16) | typed[3:]
-    size = np.concatenate([stars[1:], [n]]) + 1 - stars   # the last one ends in the 0 behind the text
-    order, group, todo = np.arange(m), np.zeros(m, np.int64), np.arange(m)
+    words = _fours(np.concatenate([text * 2 + rises + 1, np.zeros(depth + 8, text.dtype)]), ">")
+    size = (np.append(stars[1:], n) + 1 - stars).astype(np.int32)   # the last one ends in the 0 behind the text
+    order, group, todo = np.arange(m, dtype=np.int32), np.zeros(m, np.int32), np.arange(m, dtype=np.int32)
     for at in range(0, depth, 4):
         star = order[todo]
         over = np.clip(4 - (size[star] - at), 0, 3).astype(np.uint64) * np.uint64(16)
-        word = words[stars[star] + at] >> over << over
+        word = words[stars[star] + at].astype(np.uint64) >> over << over
         by = np.lexsort((word, group[todo])) if at else np.argsort(word, kind="stable")
         star, word, g = star[by], word[by], group[todo][by]
         order[todo] = star
@@ -154,13 +159,13 @@ def _sort_stars(text: np.ndarray, rises: np.ndarray, stars: np.ndarray, depth: i
         todo = todo[_ties(group[todo]) & (size[star] - at > 4)]
         if not len(todo):
             break
-    name = np.empty(m, np.int64)
+    name = np.empty(m, np.int32)
     name[order] = group
     todo, named = np.flatnonzero(_ties(group)), 1
     while len(todo) and 2 * named < depth:   # a substring goes two symbols ahead at least
         star = order[todo]
         second = np.where(star + named < m, name[np.minimum(star + named, m - 1)] + 1, 0)
-        pair = group[todo] * (m + 1) + second
+        pair = group[todo].astype(np.int64) * (m + 1) + second
         by = np.argsort(pair, kind="stable")
         star, pair = star[by], pair[by]
         order[todo] = star
@@ -253,8 +258,15 @@ def induced(text: np.ndarray, depth: int, limit: int = QUEUE_BYTES) -> tuple[np.
         down = joined(down, int(parts[-1][-1] // SUFFIX) if parts else None)
         induce(rising, least, down, True)
         out += parts + [down]
-    items = np.concatenate(out)
-    return (items // SUFFIX)[::-1], np.concatenate([[0], (items % SUFFIX)[:0:-1]]).astype(np.int32)
+    # The parts are in reverse: each suffix comes before the one whose shared length it holds. They go as they are copied.
+    order, common, at = np.empty(n, np.int32), np.zeros(n + 1, np.int32), n
+    out.reverse()
+    while out:
+        part = out.pop()[::-1]
+        order[at - len(part):at] = part // SUFFIX
+        common[at - len(part) + 1:at + 1] = part % SUFFIX
+        at -= len(part)
+    return order, common[:n]
 
 
 def induced_order(text: np.ndarray, depth: int, limit: int = QUEUE_BYTES) -> np.ndarray:
@@ -272,19 +284,23 @@ def repeated_starts(texts: list[bytes], owners: np.ndarray, starts: np.ndarray,
     text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + 1
     text[first + sizes] = 0
     order, common = induced(text, length)
+    total = len(text)
+    del text
     piece = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
-    whole = ((first + sizes)[piece] - np.arange(len(text)) >= length)[order]
+    whole = ((first + sizes).astype(np.int32)[piece] - np.arange(total, dtype=np.int32) >= length)[order]
     order, common = order[whole], common[whole]
     if not len(order):
         return [np.zeros(0, np.int64) for _ in texts]
     # Suffixes between two equal windows are equal too, so a window's neighbour is never left out.
     lead = common < length
     lead[0] = True
-    place = (owners.astype(np.int64) * (1 << 40) + starts - first)[piece[order]] + order
+    place = (owners.astype(np.int64) * (1 << 40) + starts - first)[piece[order]]
+    place += order
+    del piece, whole, common
     lead = np.flatnonzero(lead)
     earliest = np.repeat(np.minimum.reduceat(place, lead), np.diff(np.append(lead, len(order))))
     hit = np.sort(order[place != earliest])
-    cuts = np.searchsorted(hit, np.append(first, len(text)))
+    cuts = np.searchsorted(hit, np.append(first, total))
     return [hit[a:b] - f for a, b, f in zip(cuts, cuts[1:], first)]
 
 
@@ -549,14 +565,14 @@ def _split_anchors(stretches: DataFrame, length: int) -> tuple[DataFrame, DataFr
     rows, small, copied = _halved(_units(stretches, length), length), [], []
     span = length - min(GRAM, length) + 1
     for _ in range(max(1, (span - 1).bit_length())):
-        rows = stage(rows, "suffix-pieces")
-        same = stage(rows.groupBy("anchor", "h1", "h2").agg(
+        rows = stored(rows, "suffix-pieces")
+        same = stored(rows.groupBy("anchor", "h1", "h2").agg(
             F.min(F.struct(KEY, "start", "at", "lo", "hi", "text")).alias("first")), "suffix-piece-classes")
         lead = same.select("anchor", "h1", "h2", F.struct(f"first.{KEY}", "first.start").alias("lead"))
         copied.append(rows.join(lead, ["anchor", "h1", "h2"]).where(F.struct(KEY, "start") != F.col("lead")).select(
             KEY, "start", (F.octet_length("text") - (length - 1)).cast("long").alias("windows")))
         firsts = same.select("anchor", "first.*")
-        groups = stage(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+        groups = stored(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
                        .where("n > 1"), "suffix-piece-groups")
         small.append(firsts.join(groups.where(F.col("bytes") <= ANCHOR_BYTES), "anchor").select(KEY, "anchor", "start", "text"))
         large = groups.where(F.col("bytes") > ANCHOR_BYTES).select("anchor")
@@ -574,26 +590,24 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     source = keyed(docs, id_col, text_col)
     kind = source.schema[KEY].dataType.simpleString()
-    summary = stage(_summary(source, length), "suffix-anchors")
+    summary = stored(_summary(source, length), "suffix-anchors")
     # A whole copy goes whole; only first copies are looked into.
     firsts = summary.where(F.col("n_bytes") >= length).groupBy("digest").agg(F.min(KEY).alias("first"))
-    marked = stage(summary.drop("anchors").join(firsts, "digest", "left"), "suffix-copies")
+    marked = stored(summary.drop("anchors").join(firsts, "digest", "left"), "suffix-copies")
     originals = firsts.select(F.col("first").alias(KEY))
     marks = summary.join(originals, KEY).select(KEY, F.explode("anchors").alias("anchor"))
     shared = marks.groupBy("anchor").count().where("count > 1").select("anchor")
-    wanted = stage(marks.join(shared, "anchor").groupBy(KEY).agg(F.collect_set("anchor").alias("shared")), "suffix-shared")
+    wanted = stored(marks.join(shared, "anchor").groupBy(KEY).agg(F.collect_set("anchor").alias("shared")), "suffix-shared")
     discard(summary)
-    release_shuffles(docs.sparkSession)
     # Later steps join the texts by key again and again: in buckets they are shuffled once.
     texts, bucketed = bucketed_stage(source.join(wanted, KEY).select(KEY, TEXT, "shared").dropDuplicates([KEY]), "suffix-texts", KEY)
     discard(wanted)
-    release_shuffles(docs.sparkSession)
-    runs = stage(_stretches(texts, length), "suffix-stretches")
+    runs = stored(_stretches(texts, length), "suffix-stretches")
     place = F.struct(KEY, "start")
-    same = stage(runs.groupBy("anchor", "h1", "h2").agg(
+    same = stored(runs.groupBy("anchor", "h1", "h2").agg(
         F.min(place).alias("first"), F.max("twice").alias("twice"), F.max("windows").alias("windows")), "suffix-classes")
     copied = runs.join(same.drop("windows"), ["anchor", "h1", "h2"]).where(place != F.col("first")).select(KEY, "start", "windows")
-    several = stage(same.groupBy("anchor").agg(
+    several = stored(same.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.sum(F.col("windows") + (length - 1)).alias("bytes")).where(
         "n > 1 or twice").select("anchor", "bytes"), "suffix-several")
     chosen = same.join(several, "anchor").select(
@@ -603,9 +617,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pieces, again = _split_anchors(_cut_out(texts, chosen.where(F.col("bytes") > ANCHOR_BYTES), length), length)
         stretches, copied = stretches.unionByName(pieces), copied.unionByName(again)
     repeats = _sorted_shards(stretches, length).unionByName(copied)
-    release_shuffles(docs.sparkSession)
-    removed = stage(repeats.groupBy(KEY).agg(F.collect_list(F.struct("start", "windows")).alias("runs")), "suffix-removed")
-    release_shuffles(docs.sparkSession)
+    removed = stored(repeats.groupBy(KEY).agg(F.collect_list(F.struct("start", "windows")).alias("runs")), "suffix-removed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -632,11 +644,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  pa.array(counts, pa.int64()), pa.array(digests, pa.string())], names=[KEY, "spans", "n_removed", "kept"])
 
     span_type = "array<struct<start:bigint,end:bigint>>"
-    cuts = stage(texts.select(KEY, TEXT).join(removed, KEY).mapInArrow(
+    cuts = stored(texts.select(KEY, TEXT).join(removed, KEY).mapInArrow(
         cut, f"{KEY} {kind}, spans {span_type}, n_removed long, kept string"), "suffix-cuts")
     discard(runs, texts, same, removed)
     docs.sparkSession.sql(f"drop table {bucketed}")
-    release_shuffles(docs.sparkSession)
     whole = F.coalesce(F.col("first") != F.col(KEY), F.lit(False))
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     return marked.join(cuts, KEY, "left").select(

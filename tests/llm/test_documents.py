@@ -481,6 +481,50 @@ def test_a_shard_larger_than_the_queue(monkeypatch):
     assert [x.tolist() for x in got] == expected and sum(map(len, expected)) > 100_000 and any(spilled)
 
 
+def test_stored_leaves_no_shuffle_files(spark):
+    import glob
+    import os
+    import tempfile
+    import time
+
+    from pyspark.sql import functions as F
+
+    from outagelab.llm.common import stored
+    root = os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir())
+
+    def files():
+        return {f for f in glob.glob(f"{root}/blockmgr-*/*/shuffle_*")}
+    before, name = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name)
+    spark.range(3000).groupBy((F.col("id") % 7).alias("k")).count().collect()
+    assert files() - before
+    before = files()
+    out = stored(spark.range(3000).groupBy((F.col("id") % 1000).alias("k")).count(), "counted")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(name) == setting
+    assert out.agg(F.count("k"), F.sum("count")).first() == (1000, 3000)
+
+
+def test_memory_of_a_shard():
+    import random
+    import tracemalloc
+
+    import numpy as np
+    rng = random.Random(4)
+    vocabulary = [bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(4000)]
+    texts = [b" ".join(rng.choices(vocabulary, k=60)) for _ in range(3000)]
+    size = sum(map(len, texts))
+    tracemalloc.start()
+    try:
+        suffixes.repeated_starts(texts, np.arange(len(texts)), np.zeros(len(texts), np.int64), 100)
+        assert tracemalloc.get_traced_memory()[1] < 40 * size
+    finally:
+        tracemalloc.stop()
+
+
 # --- lines
 
 def test_lines(spark):
