@@ -116,6 +116,17 @@ def test_every_ordinary_paragraph_trains_or_calibrates(spark):
     assert {r.fit for r in got} == {True, False}
 
 
+def test_paragraphs_search_a_text_once(spark, capsys):
+    text = " \tOne, two\r\n\n--\nÄb ÇD\x0bE9_f\n x\n"
+    data = [(1, text, "s"), (1, text, "s"), (None, "Solo", "s"), (3, None, "s"), (4, "", "s")]
+    found = licenses.paragraphs(documents(spark, data)).collect()
+    got = sorted((r["__key"]["id"] or 0, r["paragraph"], r["ws"]) for r in found)
+    own = [(1, 0, ["one", "two"]), (1, 3, ["Äb", "Çd", "e9", "f"]), (1, 4, ["x"])]
+    assert got == [(0, 0, ["solo"]), *sorted(own * 2)]
+    licenses.ordinary_paragraphs(documents(spark, data)).explain()
+    assert capsys.readouterr().out.count("translate(") == 1
+
+
 def test_licences(spark):
     rng = random.Random(6)
     data = [(k, "\n".join(sentence(rng, 12) for _ in range(4)), "s") for k in range(200)]
