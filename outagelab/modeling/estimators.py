@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 30
+from .growth import MAX_DEPTH
 
 # A fit's iterations are one small job each; fewer rows than this are not worth a task of their own.
 ROWS_PER_TASK = 10_000
