@@ -18,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .forest import Forest
 from .growth import MAX_DEPTH
 
 # A fit's iterations are one small job each; fewer rows than this are not worth a task of their own.
@@ -84,7 +85,7 @@ def baselines(rows: int, seed: int = 42) -> dict:
     """The five models compared before tuning, at default size: unlimited depth means as deep as a tree can be."""
     return {
         "bayes": gaussian_bayes(), "logistic": logistic(1.0, rows), "svm": linear_svm(1.0, rows),
-        "tree": decision_tree(max_depth=MAX_DEPTH, seed=seed), "forest": random_forest(100, MAX_DEPTH, seed=seed),
+        "tree": Forest(1, MAX_DEPTH, seed=seed, single=True), "forest": Forest(100, MAX_DEPTH, seed=seed),
     }
 
 

@@ -123,3 +123,11 @@ def test_edges_between_few_values_and_at_shares_of_many():
     assert len(edges) == 31 and np.diff(np.searchsorted(np.arange(3200), edges)).tolist() == [100] * 30
     rare = forest._cut(np.array([0.0, 1.0]), np.array([1e6, 1.0]))
     assert rare.tolist() == [0.5] and forest._cut(np.array([2.0]), np.ones(1)).size == 0
+
+
+def test_unlimited_baselines_are_grown_apart(data):
+    """The tree and the forest without a limit of depth keep their nodes off the driver."""
+    made = est.baselines(400)
+    assert made["tree"] == forest.Forest(1, 30, seed=42, single=True) and made["forest"] == forest.Forest(100, 30, seed=42)
+    tree = made["tree"].fit(data)
+    assert tree.trees == 1 and tree.transform(data).where("label = prediction").count() >= 380
