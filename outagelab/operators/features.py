@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,29 +46,41 @@ def long_attributes(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     return df.select(F.col(key), F.inline(pairs)).distinct()
 
 
+def _tagged(longs: Sequence[DataFrame]) -> DataFrame:
+    parts = [long.select("variable", "value", F.lit(i).alias("src")) for i, long in enumerate(longs)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def vocabulary(*longs: DataFrame, common: bool = True, drop_reference: bool = True) -> dict[str, list[str]]:
     """Values per variable, in order, for the columns of a multi-hot block.
 
     With ``common`` only values that every frame holds are kept. The last value of each variable
     in the merged vocabulary is the reference level and gets no column.
     """
-    tagged = None
-    for i, long in enumerate(longs):
-        part = long.select("variable", "value", F.lit(i).alias("src"))
-        tagged = part if tagged is None else tagged.unionByName(part)
-    return vocabulary_by_source(tagged, "src", len(longs) if common else 1, drop_reference)
+    return vocabulary_by_source(_tagged(longs), "src", len(longs) if common else 1, drop_reference)
 
 
-def vocabulary_by_source(tagged: DataFrame, src: str, sources: int = 2, drop_reference: bool = True,
-                         max_columns: int = MAX_COLUMNS):
-    """The same from one frame, for values held by at least ``sources`` different sources."""
+def _shared_values(tagged: DataFrame, src: str, sources: int, drop_reference: bool) -> tuple[DataFrame, DataFrame]:
+    """(variable, value) held by at least ``sources`` sources, and the last value of every variable."""
     values = tagged.groupBy("variable", "value").agg(F.count_distinct(src).alias("_n"))
     last = values.groupBy("variable").agg(F.max("value").alias("_last"))
     shared = values.filter(F.col("_n") >= sources).join(last, "variable")
     if drop_reference:
         shared = shared.filter(F.col("value") != F.col("_last"))
+    return shared.select("variable", "value"), last
+
+
+def vocabulary_rows(*longs: DataFrame) -> DataFrame:
+    """The common vocabulary without reference levels as (variable, value) rows, none of which travel to the driver."""
+    return _shared_values(_tagged(longs), "src", len(longs), True)[0]
+
+
+def vocabulary_by_source(tagged: DataFrame, src: str, sources: int = 2, drop_reference: bool = True,
+                         max_columns: int = MAX_COLUMNS):
+    """The same from one frame, for values held by at least ``sources`` different sources."""
+    shared, last = _shared_values(tagged, src, sources, drop_reference)
     # Only values that become columns travel to the driver.
-    rows = shared.select("variable", "value").limit(max_columns + 1).collect()
+    rows = shared.limit(max_columns + 1).collect()
     if len(rows) > max_columns:
         raise ValueError(f"more than {max_columns} columns to encode")
     out: dict[str, list[str]] = {r["variable"]: [] for r in last.select("variable").orderBy("variable").collect()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import recode_display_name, recode_system_type, rounded
 from ..operators.cohort import coverage
-from ..operators.features import column_names, multi_hot, vocabulary
+from ..operators.features import column_names, multi_hot, vocabulary, vocabulary_rows
 from ..plans import activity as act
 from ..plans import cohorts, prepare
 from ..plans import tables as tab
@@ -428,10 +428,12 @@ def attribute_columns(spark, d):
     """Columns of the multi-hot block: values of both cohorts without each variable's last level."""
     t = tables(spark, d)
     cases, control = _both(t)
-    vocab = vocabulary(prepare.clean_attributes(var.case_attributes(cases, t, STUDY)),
-                       prepare.clean_attributes(var.control_attributes(control, t, STUDY)))
-    rows = [(k, v) for k, values in vocab.items() for v in values]
-    return spark.createDataFrame(rows, "variable STRING, value STRING")
+    # Stages keep each plan small and read the history once; the answer need not pass the driver.
+    history = stage(var.control_history(control, t, STUDY), "history")
+    base = stage(var.control_latest(control, t, STUDY, history), "control_base")
+    longs = [stage(prepare.clean_attributes(var.case_attributes(cases, t, STUDY)), "long"),
+             stage(prepare.clean_attributes(var.control_attributes(control, t, STUDY, base, history)), "long")]
+    return vocabulary_rows(*longs)
 
 
 @query("attribute_hot_sums", study_sql("""

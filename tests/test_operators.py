@@ -248,3 +248,14 @@ def test_vocabulary_limit_counts_columns_only(spark):
     assert fe.vocabulary_by_source(rows, "src", max_columns=2) == {"v": ["a", "b"]}
     with pytest.raises(ValueError):
         fe.vocabulary_by_source(rows, "src", max_columns=1)
+
+
+def test_vocabulary_rows_are_the_vocabulary_and_stay_in_spark(spark, monkeypatch):
+    a = spark.createDataFrame([(1, "x", "p"), (1, "x", "q"), (2, "x", "r"), (2, "y", "k")], "id INT, variable STRING, value STRING")
+    b = spark.createDataFrame([(3, "x", "p"), (3, "x", "q"), (3, "y", "k"), (4, "x", "r"), (4, "z", "m")], "id INT, variable STRING, value STRING")
+    want = {(k, v) for k, values in fe.vocabulary(a, b).items() for v in values}
+    monkeypatch.setattr(type(a), "collect", lambda self: pytest.fail("rows travel to the driver"))
+    rows = fe.vocabulary_rows(a, b)
+    monkeypatch.undo()
+    assert {tuple(r) for r in rows.collect()} == want == {("x", "p"), ("x", "q")}
+    assert fe.vocabulary_rows(a.limit(0), b).collect() == []
