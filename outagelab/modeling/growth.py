@@ -129,10 +129,21 @@ def _total(stats: np.ndarray) -> np.ndarray:
     return sum((stats[..., c] for c in range(1, stats.shape[-1])), stats[..., 0])
 
 
-def _purity(stats: np.ndarray) -> np.ndarray:
-    """Weight of nodes less their weighted impurity."""
-    total = _total(stats)
-    return np.divide(_total(stats * stats), total, out=np.zeros_like(total), where=total > 0)
+def _gini(stats: np.ndarray, total: np.ndarray) -> np.ndarray:
+    out, total = np.ones_like(total), np.where(total > 0, total, 1.0)
+    for c in range(stats.shape[-1]):
+        share = stats[..., c] / total
+        share *= share
+        out -= share
+    return out
+
+
+def _gain(stats: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Fall of the impurity by splits with ``stats`` on the left of nodes with ``own``; rounded as by MLlib, so ties fall alike."""
+    total, left = _total(own), _total(stats)
+    rest = own - stats
+    right = _total(rest)
+    return _gini(own, total) - left / total * _gini(stats, left) - right / total * _gini(rest, right)
 
 
 def _features(keys: np.ndarray, places: np.ndarray, width: int, size: int) -> np.ndarray:
@@ -213,7 +224,7 @@ class _Growth:
                 stats = np.bincount(cell, weight, nodes * BINS * k).reshape(nodes, BINS, k)[:, :-1].cumsum(1)
             few = _total(drawn)
             bad = (few < self.least) | (_total(at.drawn)[:, None] - few < self.least)
-            score = _purity(stats) + _purity(at.stats[:, None] - stats)
+            score = _gain(stats, at.stats[:, None])
             score[bad] = -1.0
             top = score.argmax(1)
             return score[every, top], top, drawn[every, top], stats[every, top]
@@ -251,7 +262,7 @@ class _Growth:
             stats = drawn * self.weights if weight is None else upto(weight[order], before[1])
             few = _total(drawn)
             bad = (few < self.least) | (total[node] - few < self.least)
-            score = _purity(stats) + _purity(at.stats[node] - stats)
+            score = _gain(stats, at.stats[node])
             score[bad] = -1.0
             first = np.append(0, np.flatnonzero(node[1:] != node[:-1]) + 1)
             top = np.maximum.reduceat(score, first)
@@ -267,8 +278,7 @@ class _Growth:
         row_node = np.repeat(np.arange(nodes, dtype=np.int32), at.sizes)
         chosen = _features(at.key, at.place, len(self.rows.x), self.subset)
         best = (self._best_of_table if len(at.row) >= TABLE * BINS * nodes else self._best_of_sorted)(at, row_node)
-        own = _purity(at.stats)
-        score = own + 1e-10 * at.stats.sum(1)    # a gain within rounding is none
+        score = np.zeros(nodes)
         feature, cut = np.full(nodes, -1), np.zeros(nodes, np.int64)
         drawn, stats = np.zeros_like(at.drawn), np.zeros_like(at.stats)
         for s in range(chosen.shape[1]):
@@ -281,7 +291,7 @@ class _Growth:
         kept = np.flatnonzero(feature >= 0)
         rest = at.drawn - drawn
         others = at.stats - stats if self.weights is None else rest * self.weights
-        left = self.nodes.add(at.node[kept], feature[kept], cut[kept], (score - own)[kept], stats[kept], others[kept])
+        left = self.nodes.add(at.node[kept], feature[kept], cut[kept], (score * _total(at.stats))[kept], stats[kept], others[kept])
 
         # Rows of left children first, then those of right ones: both stay grouped.
         goes = x.take(np.repeat(np.maximum(feature, 0) * n, at.sizes) + at.row) > np.repeat(cut.astype(np.uint8), at.sizes)
